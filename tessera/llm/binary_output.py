@@ -14,7 +14,7 @@ Files are written through ``pyarrow.fs`` under a name of the task attempt and
 then renamed, so a lost executor or a second attempt leaves no partial shard.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-written once each, ties in document id in order of their text's crc32; null ids come
+written once each, ties in document id in order of their ids' crc32; null ids come
 first; other columns are not read.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .support import scratch_path, stage
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 MAGIC = b"TSRTOK01"
 _HEAD = "<8sQQQ"
@@ -75,12 +75,13 @@ def _filesystem(uri: str):
 def _tokenize(tokenizer: str, end: int):
     def run(batches):
         enc = encoder(tokenizer)
-        tail = np.array([end], enc.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            raw = [x + tail for x in enc.encode(texts)]
-            tie = [zlib.crc32((t or "").encode("utf-8", "replace")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tie, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "tie", "ids"])
+            for i, n, ids in enc.encode_column(batch.column(1)):
+                ids, at = with_end(n, ids, end)
+                offsets = pa.py_buffer((at * enc.dtype.itemsize).astype(np.int32))
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(ids)])
+                tie = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(tie, pa.int64()), raw], ["doc_id", "tie", "ids"])
 
     return run
 
@@ -222,7 +223,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    spread = placed.select("path", "start").repartition(F.col("path"))
+    spread = placed.select("path", "start").repartition(max(1, manifest.count()))
     return spread.mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -27,13 +27,12 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import stage
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 SEQUENCE = 2048
 
@@ -195,23 +194,23 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def _pieces(tokenizer: str, size: int, separator: int):
     def run(batches):
         enc = encoder(tokenizer)
-        sep = np.array([separator], "<u4").tobytes()
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc, raw in zip(ids, enc.encode(batch.column(1).to_pylist()), strict=True):
-                all_ids = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + sep
-                n = len(all_ids) // 4
-                head = n - (n - 1) // size * size
-                start, length, piece = 0, head, 0
-                while start < n:
-                    crc = zlib.crc32(all_ids[4 * start : 4 * (start + length)])
-                    for col, v in zip(out, (doc, piece, start, length, crc), strict=True):
-                        col.append(v)
-                    start, length, piece = start + length, size, piece + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            docs = batch.column(0)
+            for i, n, ids in enc.encode_column(batch.column(1)):
+                ids, at = with_end(n, ids, separator)
+                ids = ids.astype("<u4")
+                out = ([], [], [], [], [])
+                for doc, a, b in zip(docs.slice(i, len(n)).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    start, length, piece = 0, b - a - (b - a - 1) // size * size, 0
+                    while start < b - a:
+                        crc = zlib.crc32(ids[a + start : a + start + length])
+                        for col, v in zip(out, (doc, piece, start, length, crc), strict=True):
+                            col.append(v)
+                        start, length, piece = start + length, size, piece + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return run
 

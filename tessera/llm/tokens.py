@@ -1,29 +1,44 @@
-"""Token ids of whole texts by a public tokenizer file, chunk by chunk.
+"""Token ids of whole texts by a public tokenizer file, piece by piece.
 
 A byte-level BPE never joins a non-space character with a white-space
 character after it, so a text may be cut before every white-space run and its
-pieces encoded apart.  Each distinct piece is encoded by the tokenizers library
-once and remembered, which makes natural text several times cheaper than
-encoding it whole.  Texts with characters whose white-space class differs
-between engines are encoded whole.
+pieces encoded apart.  A block of texts is cut and hashed by numpy; each of its
+distinct pieces is looked up or encoded by the tokenizers library once, and the
+ids of all pieces are put together by one gather.  Texts with characters whose
+white-space class differs between engines are encoded whole, as are all texts
+when the file is no byte-level BPE with the usual split.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterable
+from array import array
 
 import numpy as np
 
-_PIECE = re.compile(r"\s*\S+|\s+")
-#: White space for Python's ``re`` only, or in doubt (fixed values).
-_DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-_REMEMBER = 1 << 17
+from . import textkernel as tk
+from .support import arrow_text, doc_blocks
+
+#: White space beyond ASCII and separators that engines class differently (fixed values).
+_WIDE = re.compile(
+    b"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
+)
+_LEADS = np.zeros(256, bool)
+_LEADS[[*range(0x1C, 0x20), 0xE1, 0xE2, 0xE3, 0xEF]] = True
+#: A word of Latin letters with at most a space or newline before and a stop or comma after it.
+_WORD = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Byte-level BPE writes bytes that are no visible Latin-1 character as U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+#: Pieces remembered in each of two generations (about 200 bytes each), texts per library call, bytes per block.
+_REMEMBER, _CALL, _BLOCK = 500_000, 64, 4 << 20
 _loaded: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Encodes texts to little-endian id bytes with a file of the tokenizers library."""
+    """Encodes texts to ids with a file of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,40 +47,117 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
-        self._known: dict[str, bytes] = {}
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        #: Only a byte-level BPE with the usual split pattern may be cut into pieces.
+        self.by_piece = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and spec["model"]["type"] == "BPE" and not spec.get("normalizer")
+        )
+        if self.by_piece:
+            self._model = self.tokenizer.model
+            self._single = {c: self._whole([c])[0] for c in "\n.,"} | {"": b""}
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in done]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text, as bytes of ``dtype``; null is empty."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif _DOUBTFUL.search(text):
-                out.append(self._whole([text])[0])
-            else:
-                pieces = _PIECE.findall(text)
-                known = self._known
-                try:
-                    out.append(b"".join(map(known.__getitem__, pieces)))
-                except KeyError:
-                    new = [p for p in set(pieces) if p not in known]
-                    if len(known) + len(new) > _REMEMBER:
-                        known.clear()
-                        new = list(set(pieces))
-                    known.update(zip(new, self._whole(new), strict=True))
-                    out.append(b"".join(map(known.__getitem__, pieces)))
+        out: list[bytes] = []
+        for i in range(0, len(texts), _CALL):  # the library frees small batches much faster
+            done = self.tokenizer.encode_batch_fast(texts[i : i + _CALL], add_special_tokens=False)
+            out += [array(self._code, e.ids).tobytes() for e in done]
         return out
 
+    def _letters(self, word: str, spaced: bool) -> bytes:
+        """Ids of one word of letters by the library's model, without its splitter."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self._code, [t.id for t in self._model.tokenize("Ġ" + word if spaced else word)]).tobytes()
+
+    def _encode_piece(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace")
+        m = _WORD.fullmatch(text)
+        if not m:
+            return self._whole([text])[0]
+        before, word, after = m.groups()
+        # letters, newline and stop are split from each other, so their ids stand side by side
+        ids = self._letters(word, before == " ")
+        return self._single["\n"] + ids + self._single[after] if before == "\n" else ids + self._single[after]
+
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self._known.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[i]
+            ids = self._older.get(piece)
+            if ids is None:
+                ids = self._encode_piece(piece)
+            if len(self._known) >= _REMEMBER:
+                self._older, self._known = self._known, {}
+            found[i] = self._known[piece] = ids
+        return found
+
+    def _block(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of texts, and how many each text has."""
+        n_docs = len(bounds) - 1
+        space = ~tk.NOT_SPACE[raw]
+        first = np.empty(len(raw), bool)
+        first[0] = True
+        np.logical_and(space[1:], ~space[:-1], out=first[1:])
+        first[bounds[:-1][bounds[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(raw))
+        _, at, which = np.unique(tk.hash_words(raw, starts, ends), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        ids = self._ids_of([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        size = self.dtype.itemsize
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        mine = lens[which]
+        done = np.cumsum(mine)
+        shift = (np.cumsum(lens) - lens)[which] - (done - mine)
+        out = flat[np.repeat(shift, mine) + np.arange(done[-1])]
+        doc = np.searchsorted(bounds, starts, "right") - 1
+        return out, np.bincount(doc, weights=mine, minlength=n_docs).astype(np.int64)
+
+    def encode_column(self, col):
+        """(first row, ids per row, all ids) of blocks of an Arrow string column; null is empty."""
+        raw, bounds = arrow_text(col)
+        for i, j in doc_blocks(bounds, _BLOCK):
+            own, at = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            if not len(own):
+                yield i, np.zeros(j - i, np.int64), np.zeros(0, self.dtype)
+            elif self.by_piece and not (_LEADS[own] | (own == 0xC2)).any():
+                ids, n = self._block(own, at)
+                yield i, n, ids
+            else:  # look closer, text by text
+                data = own.tobytes()
+                for k in range(j - i):
+                    text = data[at[k] : at[k + 1]]
+                    if not text:
+                        yield i + k, np.zeros(1, np.int64), np.zeros(0, self.dtype)
+                    elif self.by_piece and not _WIDE.search(text):
+                        ids, n = self._block(own[at[k] : at[k + 1]], np.array([0, len(text)]))
+                        yield i + k, n, ids
+                    else:
+                        ids = np.frombuffer(self._whole([text.decode("utf-8", "replace")])[0], self.dtype)
+                        yield i + k, np.array([len(ids)]), ids
+
+
+def with_end(n: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with ``end`` after each text's, and offsets of the texts."""
+    at = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n + 1, out=at[1:])
+    out = np.full(at[-1], end, ids.dtype)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = ids
+    return out, at
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of ``path`` in this process, loaded once."""
     if path not in _loaded:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _loaded[path] = Encoder(path)
     return _loaded[path]
