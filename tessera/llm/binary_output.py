@@ -49,8 +49,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[:n] = code
     quad = padded.reshape(-1, 4)
     control = quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) <= code[:, None]].tobytes()
+    width = int(code.max()) + 1 if n else 1
+    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return control.astype(np.uint8).tobytes(), raw[np.arange(width) <= code[:, None]].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -61,7 +62,7 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     at = np.cumsum(sizes, dtype=np.int64) - sizes
     room = np.concatenate([data, np.zeros(3, np.uint8)])
     value = room[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(sizes.max())):
         value |= room[at + k].astype(np.uint32) << np.uint32(8 * k)
     return value & _MASKS[sizes - 1]
 
@@ -90,8 +91,11 @@ def _count(vocab: int, dtype: str):
     def run(batches):
         total = np.zeros(vocab, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=vocab)
+            col = batch.column(0)
+            at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
+            if at[-1] > at[0]:  # one count over the batch's ids, not one per document
+                ids = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype)
+                total += np.bincount(ids, minlength=vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
