@@ -35,6 +35,8 @@ from .support import stage
 from .tokens import encoder, with_end
 
 SEQUENCE = 2048
+BROADCAST_PLACES = 200_000
+RANKS = 1 << 20
 
 
 # -- packing of a histogram -------------------------------------------------
@@ -235,7 +237,7 @@ def pack(
     rows = places(plan(counts, size))
     spark = docs.sparkSession
     slots = spark.createDataFrame(
-        rows or [(0, 0, 0, 0, 0)], "len bigint, rank_from bigint, rank_to bigint, seq_from bigint, offset bigint"
+        rows or [(0, 0, 1, 0, 0)], "len bigint, rank_from bigint, rank_to bigint, seq_from bigint, offset bigint"
     )
     before = per_task.select(
         F.col("task").alias("t"),
@@ -251,10 +253,20 @@ def pack(
         .join(before, (F.col("task") == F.col("t")) & (F.col("length") == F.col("l")))
         .withColumn("rank", F.col("own") + F.col("before"))
     )
-    # The places depend on the distinct lengths only: thousands of rows.
+    # Places are met by length and stretch of ranks, so a shuffle would spread a
+    # frequent length; they depend on the distinct lengths, and while they are
+    # few they are broadcast.
+    stretch = (F.col("rank") / RANKS).cast("bigint")
+    slots = slots.withColumn(
+        "part", F.explode(F.sequence(F.floor(F.col("rank_from") / RANKS), F.floor((F.col("rank_to") - 1) / RANKS)))
+    )
+    slots = F.broadcast(slots) if len(rows) <= BROADCAST_PLACES else slots
     return ranked.join(
-        F.broadcast(slots),
-        (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")),
+        slots,
+        (F.col("length") == F.col("len"))
+        & (stretch == F.col("part"))
+        & (F.col("rank") >= F.col("rank_from"))
+        & (F.col("rank") < F.col("rank_to")),
     ).select(
         "doc_id",
         "piece",
