@@ -10,9 +10,13 @@
    estimate by bit counts; pairs that pass by a wide margin are confirmed on
    full shingle sets, and components are formed.
 4. Round two takes, of the same buckets, only pairs whose ends are still in
-   different components.  After it every candidate pair of every bucket is
-   either inside one component or was confirmed or refuted itself, so no link
-   is lost to the star shape and no bucket has a cap.
+   different components.  A shingle that no other component holds can't be part
+   of a link that is still missing, so a document's other shingles bound its
+   similarity with anything outside: documents, and then pairs, below that
+   exact bound are out before they are paired.  After this round every
+   candidate pair of every bucket is inside one component, or was confirmed, or
+   refuted by itself or by a bound, so no link is lost to the star shape and no
+   bucket has a cap.
 
 A pair at similarity 0.85 misses all 32 bands with probability 7e-9, and the
 estimate is off by the margin (six deviations) with about 1e-9.
@@ -36,6 +40,8 @@ from .support import arrow_text, doc_blocks, list_column, stage
 BANDS, ROWS, BITS, SHINGLE = 32, 5, 2, 5
 PERMS = BANDS * ROWS
 MARGIN = 0.24
+#: Bits of the map of candidate ids that goes to the tasks (8 MB), and its largest load.
+SLOTS = 1 << 26
 _LONGS = PERMS * BITS // 64
 
 
@@ -91,10 +97,41 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "fp1", "fp2", *(f"s{k}" for k in range(_LONGS)), "bands"])
 
 
-def _sets(batches):
-    for ids, sets in _each_set(batches):
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids, list_column(flat, [len(x) for x in sets])], ["doc_id", "sh"])
+def _sets(bits: np.ndarray | None):
+    """Shingle sets of the documents whose slot is set; of all without ``bits``."""
+
+    def run(batches):
+        for batch in batches:
+            if bits is not None:
+                slot = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.take(pa.array(np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)))
+            for ids, sets in _each_set([batch]):
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, list_column(flat, [len(x) for x in sets])], ["doc_id", "sh"])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, sh) of the documents in ``ids`` and perhaps some more.
+
+    The ids set bits in a map of fixed size, so texts are filtered where they
+    are read and need no shuffle; ids too many for the map are joined instead.
+    """
+    spec = "doc_id bigint, sh array<bigint>"
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    if ids.count() > SLOTS // 8:
+        return stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(None), spec), "sets")
+    maps = (
+        ids.select(slot.alias("slot"))
+        .groupBy((F.col("slot") / 32768).cast("bigint").alias("part"))
+        .agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("int")).alias("bits"))
+    )
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in maps.toLocalIterator():  # at most SLOTS / 32768 maps of 4 KB
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    picked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
+    return stage(picked.mapInArrow(_sets(bits), spec), "sets")
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -122,8 +159,8 @@ def _passing(a: str, b: str, num: int, den: int):
 
 def confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Those (a, b) of ``pairs`` with den * |A & B| >= num * |A | B| on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id bigint, sh array<bigint>"), "sets")
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = shingle_sets(docs, ids)
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a")
@@ -156,6 +193,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _able(waiting: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, comp, n_shingles, shared) of documents that may have a link outside
+    their component: enough of their shingles occur in another one.
+
+    Leaving out a document can only lower the counts of others, so this is
+    repeated while it takes documents away.
+    """
+    ids = stage(waiting.select("doc_id", "comp").distinct(), "ids")
+    sets = shingle_sets(docs, ids.select("doc_id")).join(ids, "doc_id")
+    rows = stage(sets.select("doc_id", "comp", F.size("sh").alias("n_shingles"), F.explode("sh").alias("s")), "shingles")
+    left, n = rows, ids.count()
+    while True:
+        wide = left.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
+        able = left.join(wide, "s").groupBy("doc_id", "comp", "n_shingles").agg(F.count("*").alias("shared"))
+        able = stage(able.where(den * F.col("shared") >= num * F.col("n_shingles")), "able")
+        now = able.count()
+        if now == n or not now:
+            return able
+        left, n = left.join(able.select("doc_id"), "doc_id", "left_semi"), now
+
+
 def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``, linking documents
     whose shingle sets have a similarity of num/den or more."""
@@ -190,12 +248,16 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id",
         "key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")
     )
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = stage(placed.join(split, "key").join(sig, "doc_id"), "open")
+    waiting = stage(placed.join(split, "key"), "waiting")
+    able = _able(waiting, src, num, den)
+    open_ = stage(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
+    most = F.least("x.shared", "y.shared")
+    bound = (num + den) * most >= num * (F.col("x.n_shingles") + F.col("y.n_shingles"))
     across = (
         open_.alias("x")
         .join(
             open_.alias("y"),
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _passing("x", "y", num, den),
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & bound & _passing("x", "y", num, den),
         )
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         .distinct()
