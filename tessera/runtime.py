@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on; the rest is left to the cluster.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
+#: Rows are whole texts, so the default of 10,000 a batch would take too much memory.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 
@@ -36,6 +38,8 @@ def ship(spark: SparkSession) -> None:
 
     Python workers import it by name; a cluster need not have it installed.
     """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
