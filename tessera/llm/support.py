@@ -34,7 +34,7 @@ def arrow_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def doc_blocks(bounds: np.ndarray, limit: int = 1 << 21):
+def doc_blocks(bounds: np.ndarray, limit: int = 1 << 20):
     """Ranges (i, j) of documents with about ``limit`` bytes, one at least."""
     i, n = 0, len(bounds) - 1
     while i < n:
