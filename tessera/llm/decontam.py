@@ -37,7 +37,7 @@ from .support import arrow_text, doc_blocks, stage
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
 PASSAGE, STEP = 256, 16
-COSINE = 0.4
+COSINE = 0.33
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 8
 BLOCK = 2048
@@ -143,10 +143,10 @@ def fit(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     dim, sign = _fold()
     weight = np.log((1.0 + n[-1]) / (1.0 + n[:-1])) * sign
     parts = words.select("words").mapInArrow(_sketch(weight), "part binary")
-    while parts.rdd.getNumPartitions() > 64:  # sums of sums, each task streams its share
+    while parts.rdd.getNumPartitions() > 16:  # sums of sums, each task streams its share
         parts = parts.repartition(max(1, int(parts.rdd.getNumPartitions() ** 0.5))).mapInArrow(_add_parts, "part binary")
     y = np.zeros((DIMS, RANK + EXTRA))
-    for r in parts.collect():  # at most 64 sums of fixed size
+    for r in parts.collect():  # at most 16 sums of fixed size
         y += np.frombuffer(r["part"], np.float64).reshape(y.shape)
     omega = _test_matrix().astype(np.float64)
     # Nystroem: G ~ Y (omega' Y)^-1 Y', for G = A'A positive semi-definite
