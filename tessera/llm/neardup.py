@@ -9,11 +9,12 @@
    star, never all pairs).  Packed signatures give a collision-corrected
    estimate by bit counts; pairs that pass by a wide margin are confirmed on
    full shingle sets, and components are formed.
-4. Round two takes, of the same buckets, only pairs whose ends are still in
+4. Further rounds take, of the same buckets, only pairs whose ends are still in
    different components.  A shingle that no other component holds can't be part
    of a link that is still missing, so a document's other shingles bound its
    similarity with anything outside: documents, and then pairs, below that
-   exact bound are out before they are paired.  After this round every
+   exact bound are out before they are paired.  While that leaves many, a
+   star around the documents that share most joins components first.  At the end every
    candidate pair of every bucket is inside one component, or was confirmed, or
    refuted by itself or by a bound, so no link is lost to the star shape and no
    bucket has a cap.
@@ -157,10 +158,8 @@ def _passing(a: str, b: str, num: int, den: int):
     return (den * small >= num * large) & (_estimate(a, b) >= num / den - MARGIN)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` with den * |A & B| >= num * |A | B| on full sets."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = shingle_sets(docs, ids)
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` with den * |A & B| >= num * |A | B| on full ``sets``."""
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a")
@@ -193,17 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _able(waiting: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def _able(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame:
     """(doc_id, comp, n_shingles, shared) of documents that may have a link outside
     their component: enough of their shingles occur in another one.
 
     Leaving out a document can only lower the counts of others, so this is
     repeated while it takes documents away.
     """
-    ids = stage(waiting.select("doc_id", "comp").distinct(), "ids")
-    sets = shingle_sets(docs, ids.select("doc_id")).join(ids, "doc_id")
-    rows = stage(sets.select("doc_id", "comp", F.size("sh").alias("n_shingles"), F.explode("sh").alias("s")), "shingles")
-    left, n = rows, ids.count()
+    rows = sets.join(places, "doc_id").select("doc_id", "comp", F.size("sh").alias("n_shingles"), F.explode("sh").alias("s"))
+    left, n = rows, None
     while True:
         wide = left.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
         able = left.join(wide, "s").groupBy("doc_id", "comp", "n_shingles").agg(F.count("*").alias("shared"))
@@ -211,7 +208,58 @@ def _able(waiting: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
         now = able.count()
         if now == n or not now:
             return able
-        left, n = left.join(able.select("doc_id"), "doc_id", "left_semi"), now
+        left, n = rows.join(able.select("doc_id"), "doc_id", "left_semi"), now
+
+
+def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: DataFrame, links: DataFrame, tested: DataFrame, num: int, den: int):
+    """Components of ``links`` and of all further links inside ``buckets``.
+
+    While open buckets would give many more pairs than they have rows, another
+    star joins components first: its leads are the documents that share most
+    with others.  What is open after that is paired in full.
+    """
+    comp = components(links)
+    while True:
+        placed = buckets.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")
+        )
+        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        waiting = stage(placed.join(split, "key"), "waiting")
+        places = stage(waiting.select("doc_id", "comp").distinct(), "places")
+        if sets is None:
+            sets = shingle_sets(docs, places.select("doc_id"))
+        able = _able(sets, places, num, den)
+        open_ = stage(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
+        per = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        size = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if not size["pairs"]:
+            return comp
+        few = size["pairs"] <= 2 * size["rows"]
+        most = F.least("x.shared", "y.shared")
+        bound = (num + den) * most >= num * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+        good = (F.col("x.comp") != F.col("y.comp")) & bound & _passing("x", "y", num, den)
+        if few:
+            found = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & good)
+        else:
+            share = F.struct((F.col("shared") / F.col("n_shingles")).alias("part"), F.xxhash64("doc_id").alias("h"), "doc_id")
+            leads = open_.groupBy("key").agg(F.max(share)["doc_id"].alias("doc_id"))
+            found = open_.join(leads, ["key", "doc_id"]).alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & good)
+        pairs = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "across")
+        if pairs.limit(1).count():
+            more = stage(confirm(pairs, sets, num, den), "links")
+            if more.limit(1).count():
+                links, tested = links.union(more), tested.union(pairs)
+                comp = components(links)
+                if not few:
+                    continue
+        if few:
+            return comp
+        # the star added nothing: the rest is paired in full, however much it is
+        rest = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & good)
+        rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        more = stage(confirm(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), sets, num, den), "links")
+        return components(links.union(more)) if more.limit(1).count() else comp
 
 
 def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,33 +289,10 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id",
         .select("a", "b")
         .distinct()
     )
-    links = stage(confirm(stage(tested, "pairs"), src, num, den), "links")
-    comp = components(links)
-
-    placed = buckets.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")
-    )
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    waiting = stage(placed.join(split, "key"), "waiting")
-    able = _able(waiting, src, num, den)
-    open_ = stage(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
-    most = F.least("x.shared", "y.shared")
-    bound = (num + den) * most >= num * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    across = (
-        open_.alias("x")
-        .join(
-            open_.alias("y"),
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & bound & _passing("x", "y", num, den),
-        )
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    across = stage(across, "across")
-    if across.limit(1).count():
-        more = stage(confirm(across, src, num, den), "more_links")
-        if more.limit(1).count():
-            comp = components(links.union(more))
+    tested = stage(tested, "pairs")
+    ids = stage(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    links = stage(confirm(tested, shingle_sets(src, ids), num, den), "links")
+    comp = _across(buckets, sig, None, src, links, star, num, den)
     out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")
     )
