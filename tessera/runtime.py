@@ -16,6 +16,7 @@ REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -74,9 +75,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
+    _SCRATCH.append(str(folder))
     return path
 
 
+def scratch_mark() -> int:
+    """A mark for ``release``: the number of scratch folders made so far."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, start: int, end: int, still_read: DataFrame | None = None) -> None:
+    """Delete the scratch folders made between two marks, but for those that
+    ``still_read`` reads."""
+    read = still_read.inputFiles() if still_read is not None else []
+    for k in range(start, end):
+        folder = _SCRATCH[k]
+        if folder and not any(folder.split(":", 1)[-1] in f for f in read):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _SCRATCH[k] = ""
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
