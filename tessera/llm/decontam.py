@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, stage
+from .support import arrow_text, doc_blocks, stage, without_ids
 
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
@@ -305,4 +305,4 @@ def find_leaks(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents in which an item was found."""
     gone = stage(find_leaks(docs, benchmark, id_col, text).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+    return without_ids(docs, id_col, gone)

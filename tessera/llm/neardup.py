@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, list_column, stage
+from .support import arrow_text, doc_blocks, list_column, stage, without_ids
 
 BANDS, ROWS, BITS, SHINGLE = 32, 5, 2, 5
 PERMS = BANDS * ROWS
 MARGIN = 0.24
-#: Bits of the map of candidate ids that goes to the tasks (8 MB), and its largest load.
-SLOTS = 1 << 26
+#: Bits of the map of candidate ids that goes to the tasks (2 MB), and its largest load.
+SLOTS = 1 << 24
 _LONGS = PERMS * BITS // 64
 
 
@@ -307,4 +307,4 @@ def keep_one(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_
         .select(F.col("doc_id").alias("__gone"))
         .distinct()
     )
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+    return without_ids(docs, id_col, stage(gone, "gone"))

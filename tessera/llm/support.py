@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path, ship, stage  # noqa: F401  (used by the operators)
+from ..runtime import release, scratch_mark, scratch_path, ship, stage  # noqa: F401  (used by the operators)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -48,3 +48,18 @@ def list_column(flat: np.ndarray, lengths) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+#: Ids that may be broadcast (8 bytes each, some tens of MB as a hash table).
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone``, a staged table of one column.
+
+    Up to BROADCAST_IDS ids, counted, are broadcast, so texts need no shuffle;
+    more are joined by shuffle.
+    """
+    (name,) = gone.columns
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("bigint") == F.col(name), "left_anti")
