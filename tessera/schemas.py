@@ -1,8 +1,6 @@
-"""Explicit schemas; nothing is inferred from data."""
+"""Explicit schemas, as DDL strings; nothing is inferred from data."""
 
-from pyspark.sql import types as T
-
-REQUEST = T.StructType.fromDDL(
+REQUEST = (
     "id string, "
     "transaction struct<amount: float, installments: float, requested_at: string>, "
     "customer struct<avg_amount: float, tx_count_24h: float, known_merchants: array<string>>, "
@@ -10,8 +8,8 @@ REQUEST = T.StructType.fromDDL(
     "terminal struct<is_online: boolean, card_present: boolean, km_from_home: float>, "
     "last_transaction struct<timestamp: string, km_from_current: float>"
 )
-REFERENCE = T.StructType.fromDDL("vector array<float>, label string")
-SAMPLE = T.StructType.fromDDL(
+REFERENCE = ("vector array<float>, label string")
+SAMPLE = (
     "seq bigint, recv_ns bigint, json_ns bigint, knn_ns bigint, send_ns bigint, total_ns bigint, "
     "clusters_probed int, vectors_scanned int, repair_triggered int, early_exit_taken int"
 )
