@@ -41,6 +41,8 @@ from .support import arrow_text, doc_blocks, list_column, stage, without_ids
 BANDS, ROWS, BITS, SHINGLE = 32, 5, 2, 5
 PERMS = BANDS * ROWS
 MARGIN = 0.24
+#: Pairs of an open bucket's rows, per row, from which a star comes before pairing.
+MANY = 50
 #: Bits of the map of candidate ids that goes to the tasks (2 MB), and its largest load.
 SLOTS = 1 << 24
 _LONGS = PERMS * BITS // 64
@@ -234,16 +236,19 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
         size = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         if not size["pairs"]:
             return comp
-        few = size["pairs"] <= 2 * size["rows"]
+        few = size["pairs"] <= MANY * size["rows"]
         most = F.least("x.shared", "y.shared")
         bound = (num + den) * most >= num * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-        good = (F.col("x.comp") != F.col("y.comp")) & bound & _passing("x", "y", num, den)
+        near = (F.col("x.comp") != F.col("y.comp")) & bound & _passing("x", "y", num, den)
+        # two documents share many bands; they are paired in the first of those only
+        shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True)
+        good = near & (shared == F.array_position("x.bands", F.col("x.key")))
         if few:
             found = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & good)
         else:
             share = F.struct((F.col("shared") / F.col("n_shingles")).alias("part"), F.xxhash64("doc_id").alias("h"), "doc_id")
             leads = open_.groupBy("key").agg(F.max(share)["doc_id"].alias("doc_id"))
-            found = open_.join(leads, ["key", "doc_id"]).alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & good)
+            found = open_.join(leads, ["key", "doc_id"]).alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & near)
         pairs = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "across")
         if pairs.limit(1).count():
@@ -279,7 +284,7 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id",
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
     buckets = stage(banded.join(shared, "key"), "buckets")
-    sig = reps.drop("bands", "fp1", "fp2")
+    sig = reps.drop("fp1", "fp2")
 
     star = stage(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     tested = (
