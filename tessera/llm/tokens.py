@@ -99,7 +99,6 @@ class Encoder:
 
     def _block(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and how many each text has."""
-        n_docs = len(bounds) - 1
         space = ~tk.NOT_SPACE[raw]
         first = np.empty(len(raw), bool)
         first[0] = True
@@ -115,10 +114,11 @@ class Encoder:
         flat = np.frombuffer(b"".join(ids), self.dtype)
         mine = lens[which]
         done = np.cumsum(mine)
-        shift = (np.cumsum(lens) - lens)[which] - (done - mine)
-        out = flat[np.repeat(shift, mine) + np.arange(done[-1])]
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        return out, np.bincount(doc, weights=mine, minlength=n_docs).astype(np.int64)
+        at_type = np.int32 if done[-1] < 1 << 30 else np.int64
+        shift = ((np.cumsum(lens) - lens)[which] - (done - mine)).astype(at_type)
+        out = flat[np.repeat(shift, mine) + np.arange(done[-1], dtype=at_type)]
+        before = np.concatenate([[0], done])[np.searchsorted(starts, bounds)]
+        return out, np.diff(before)
 
     def encode_column(self, col):
         """(first row, ids per row, all ids) of blocks of an Arrow string column; null is empty."""
