@@ -2,11 +2,13 @@
 
 A byte-level BPE never joins a non-space character with a white-space
 character after it, so a text may be cut before every white-space run and its
-pieces encoded apart.  A block of texts is cut and hashed by numpy; each of its
-distinct pieces is looked up or encoded by the tokenizers library once, and the
-ids of all pieces are put together by one gather.  Texts with characters whose
-white-space class differs between engines are encoded whole, as are all texts
-when the file is no byte-level BPE with the usual split.
+pieces encoded apart.  A block of texts is cut and hashed by numpy.  Its distinct
+pieces of Latin letters, with at most one white-space byte before and marks after,
+are cut into the parts that the splitter would make; the library's model encodes
+many parts in one call, set apart by a byte that no merge holds.  Other pieces are
+encoded one by one.  One gather puts the ids of all pieces together.  Texts with
+characters whose white-space class differs between engines are encoded whole, as
+are all texts when the file is no byte-level BPE with the usual split.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ _WIDE = re.compile(
 )
 _LEADS = np.zeros(256, bool)
 _LEADS[[*range(0x1C, 0x20), 0xE1, 0xE2, 0xE3, 0xEF]] = True
-#: A word of Latin letters with at most a space or newline before and a stop or comma after it.
-_WORD = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 #: Byte-level BPE writes bytes that are no visible Latin-1 character as U+0100 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
-#: Pieces remembered in each of two generations (about 200 bytes each), texts per library call, bytes per block.
-_REMEMBER, _CALL, _BLOCK = 500_000, 64, 4 << 20
+#: The character of each byte.
+_CHAR = np.array([_BYTE_CHARS.get(b, b) for b in range(256)], "<u4")
+_ASCII = np.arange(256) < 128
+_LETTERS = np.array([chr(b).isalpha() for b in range(256)]) & _ASCII
+_MARKS = (np.arange(256) > 32) & (np.arange(256) < 127) & ~np.array([chr(b).isalnum() for b in range(256)])
+#: Texts per library call, bytes of parts per call of the model, bytes per block.
+_CALL, _PARTS, _BLOCK = 64, 1 << 8, 4 << 20
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -55,11 +60,15 @@ class Encoder:
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and spec["model"]["type"] == "BPE" and not spec.get("normalizer")
         )
-        if self.by_piece:
+        model = spec["model"]
+        within = set("".join(t for t in self.tokenizer.get_vocab() if len(t) > 1))
+        lone = [b for b in range(9) if chr(_CHAR[b]) not in within and self.tokenizer.token_to_id(chr(_CHAR[b])) is not None]
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        #: A control byte that stands in no longer token, so nothing merges across it.
+        self._wall = lone[0] if self.by_piece and lone and not any(model.get(k) for k in odd) else None
+        if self._wall is not None:
+            self._wall_id = self.tokenizer.token_to_id(chr(_CHAR[self._wall]))
             self._model = self.tokenizer.model
-            self._single = {c: self._whole([c])[0] for c in "\n.,"} | {"": b""}
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -68,34 +77,49 @@ class Encoder:
             out += [array(self._code, e.ids).tobytes() for e in done]
         return out
 
-    def _letters(self, word: str, spaced: bool) -> bytes:
-        """Ids of one word of letters by the library's model, without its splitter."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array(self._code, [t.id for t in self._model.tokenize("Ġ" + word if spaced else word)]).tobytes()
-
-    def _encode_piece(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        m = _WORD.fullmatch(text)
-        if not m:
-            return self._whole([text])[0]
-        before, word, after = m.groups()
-        # letters, newline and stop are split from each other, so their ids stand side by side
-        ids = self._letters(word, before == " ")
-        return self._single["\n"] + ids + self._single[after] if before == "\n" else ids + self._single[after]
-
-    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        found = list(map(self._known.get, pieces))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            piece = pieces[i]
-            ids = self._older.get(piece)
-            if ids is None:
-                ids = self._encode_piece(piece)
-            if len(self._known) >= _REMEMBER:
-                self._older, self._known = self._known, {}
-            found[i] = self._known[piece] = ids
-        return found
+    def _apart(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces, each a text of its own, and how many each has."""
+        pieces = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = self._whole(pieces)
+        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+
+    def _side_by_side(self, raw: np.ndarray, starts: np.ndarray, body: np.ndarray, tail: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces whose letters begin at ``body`` and end at ``tail``."""
+        # up to three parts a piece: white space but a space, letters with a space before, marks
+        glued = (body == starts) | (raw[starts] == 32)
+        edges = np.stack([starts, np.where(glued, starts, body), tail, ends], axis=1)
+        lo, hi = edges[:, :-1].ravel(), edges[:, 1:].ravel()
+        some = hi > lo
+        lo, n = lo[some], (hi - lo)[some] + 1
+        upto = np.cumsum(n)
+        data = raw[np.minimum(np.arange(upto[-1]) + np.repeat(lo - (upto - n), n), len(raw) - 1)]
+        data[upto - 1] = self._wall
+        cuts = upto[np.searchsorted(upto, np.arange(_PARTS, upto[-1], _PARTS))].tolist()
+        cuts = sorted({0, *cuts, int(upto[-1])})
+        chars = _CHAR[data].tobytes()
+        ids = array(self._code)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids.extend([t.id for t in self._model.tokenize(chars[4 * a : 4 * b].decode("utf-32-le"))])
+        ids = np.frombuffer(ids, self.dtype)
+        wall = ids == self._wall_id
+        per_part = np.diff(np.flatnonzero(wall), prepend=-1) - 1
+        per_piece = np.zeros(some.size, np.int64)
+        per_piece[some] = per_part
+        return ids[~wall], per_piece.reshape(-1, 3).sum(axis=1)
+
+    def _plain(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Which pieces can stand side by side, and where their letters begin and end."""
+        body = starts + ~tk.NOT_SPACE[raw[starts]]
+        lead = (raw >= 0xC3) & (raw <= 0xC9)
+        fine = _LETTERS[raw] | lead | (raw & 0xC0 == 0x80)
+        # multiplication and division signs, and what follows U+024F
+        fine[1:] &= ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC9) & (raw[1:] > 0x8F))
+        # a two-byte character is a lead and one byte more
+        fine[1:] &= (raw[1:] & 0xC0 == 0x80) == lead[:-1]
+        none = np.append(np.flatnonzero(~fine), len(raw))
+        tail = np.minimum(none[np.searchsorted(none, body)], ends)
+        none = np.append(np.flatnonzero(~_MARKS[raw]), len(raw))
+        return (tail > body) & (none[np.searchsorted(none, tail)] >= ends), body, tail
 
     def _block(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and how many each text has."""
@@ -107,15 +131,29 @@ class Encoder:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(raw))
         _, at, which = np.unique(tk.hash_words(raw, starts, ends), return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        ids = self._ids_of([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        size = self.dtype.itemsize
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // size
-        flat = np.frombuffer(b"".join(ids), self.dtype)
+        # distinct pieces in the order of the text, so that what follows reads it in order
+        order = np.argsort(at)
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        at, which = at[order], place[which]
+        a, b = starts[at], ends[at]
+        lens, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        plain = np.zeros(len(at), bool)
+        parts = []
+        if self._wall is not None:
+            plain, body, tail = self._plain(raw, a, b)
+        if plain.any():
+            parts.append((plain, *self._side_by_side(raw, a[plain], body[plain], tail[plain], b[plain])))
+        parts.append((~plain, *self._apart(raw, a[~plain], b[~plain])))
+        total = 0
+        for mask, ids, n in parts:
+            lens[mask], begin[mask] = n, total + np.cumsum(n) - n
+            total += len(ids)
+        flat = np.concatenate([ids for _, ids, _ in parts])
         mine = lens[which]
         done = np.cumsum(mine)
         at_type = np.int32 if done[-1] < 1 << 30 else np.int64
-        shift = ((np.cumsum(lens) - lens)[which] - (done - mine)).astype(at_type)
+        shift = (begin[which] - (done - mine)).astype(at_type)
         out = flat[np.repeat(shift, mine) + np.arange(done[-1], dtype=at_type)]
         before = np.concatenate([[0], done])[np.searchsorted(starts, bounds)]
         return out, np.diff(before)
