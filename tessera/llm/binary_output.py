@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import scratch_path, stage
+from .support import doc_blocks, scratch_path, stage
 from .tokens import encoder, with_end
 
 MAGIC = b"TSRTOK01"
@@ -38,27 +38,44 @@ _HEAD = "<8sQQQ"
 NULL_ID = -(1 << 63)
 #: Bytes of a control byte's four values, and where each begins.
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
+#: Ids coded at once; a longer document is a block of its own.
+_BLOCK = 1 << 18
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of uint32 ``ranks``."""
-    n = len(ranks)
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = code
+def _places(lens: np.ndarray) -> np.ndarray:
+    """Where each id's control code stands: every document begins a new control byte."""
+    room = -(-lens // 4) * 4
+    return np.repeat(np.cumsum(room) - room - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+
+def encode_ranks(ranks: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of the uint32 ``ranks`` of documents with
+    ``lens`` ids, and data bytes per document."""
+    if not len(ranks):
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(len(lens), np.int64)
+    code = (ranks > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if ranks.max() > limit:
+            code += ranks > limit
+    padded = np.zeros(int((-(-lens // 4)).sum()) * 4, np.uint8)
+    padded[_places(lens)] = code
     quad = padded.reshape(-1, 4)
     control = quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6
-    width = int(code.max()) + 1 if n else 1
+    width = int(code.max()) + 1
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
-    return control.astype(np.uint8).tobytes(), raw[np.arange(width) <= code[:, None]].tobytes()
+    upto = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=upto[1:])
+    extra = np.zeros(len(code) + 1, np.int64)
+    np.cumsum(code, out=extra[1:])
+    return control, raw[np.arange(width) <= code[:, None]], lens + np.diff(extra[upto])
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+def decode_ranks(control: np.ndarray, data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The inverse of ``encode_ranks``: lengths by table lookup, values by gather."""
-    if not n:
+    if not lens.sum():
         return np.zeros(0, np.uint32)
-    sizes = _SIZES[control].ravel()[:n]
+    sizes = _SIZES[control].ravel()[_places(lens)]
     at = np.cumsum(sizes, dtype=np.int64) - sizes
     room = np.concatenate([data, np.zeros(3, np.uint8)])
     value = room[at].astype(np.uint32)
@@ -87,15 +104,19 @@ def _tokenize(tokenizer: str, end: int):
     return run
 
 
+def _flat_ids(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the documents of a binary column, and all their ids."""
+    at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
+    data = col.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype) if at[-1] > at[0] else np.zeros(0, dtype)
+    return (at - at[0]) // ids.dtype.itemsize, ids
+
+
 def _count(vocab: int, dtype: str):
     def run(batches):
         total = np.zeros(vocab, np.int64)
-        for batch in batches:
-            col = batch.column(0)
-            at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
-            if at[-1] > at[0]:  # one count over the batch's ids, not one per document
-                ids = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype)
-                total += np.bincount(ids, minlength=vocab)
+        for batch in batches:  # one count over the batch's ids, not one per document
+            total += np.bincount(_flat_ids(batch.column(0), dtype)[1], minlength=vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
@@ -106,13 +127,15 @@ def _write_shards(folder: str, rank_of: np.ndarray, dtype: str):
     """Writes the documents of each task, in order, as one shard."""
 
     def run(batches):
-        docs, lens, control, data = [], [], [], []
+        docs, lens, sizes, control, data = [], [], [], [], []
         for batch in batches:
             docs += batch.column(0).to_pylist()
-            for raw in batch.column(1):
-                ids = np.frombuffer(raw.as_buffer(), dtype)
-                c, d = encode_ranks(rank_of[ids])
-                lens.append(len(ids))
+            at, ids = _flat_ids(batch.column(1), dtype)
+            n = np.diff(at)
+            for i, j in doc_blocks(at, _BLOCK):
+                c, d, size = encode_ranks(rank_of[ids[at[i] : at[j]]], n[i:j])
+                lens.append(n[i:j])
+                sizes.append(size)
                 control.append(c)
                 data.append(d)
         if not docs:
@@ -121,17 +144,16 @@ def _write_shards(folder: str, rank_of: np.ndarray, dtype: str):
         target, path = _filesystem(folder)
         name = f"shard-{ctx.partitionId():08d}.bin"
         part = f"{path}/.{name}.{ctx.taskAttemptId()}.{uuid.uuid4().hex}"
-        count = sum(lens)
+        n, size = np.concatenate(lens), np.concatenate(sizes)
+        count = int(n.sum())
         with target.open_output_stream(part) as out:
-            out.write(struct.pack(_HEAD, MAGIC, len(docs), count, sum(map(len, data))))
+            out.write(struct.pack(_HEAD, MAGIC, len(docs), count, int(size.sum())))
             out.write(np.array([NULL_ID if d is None else d for d in docs], "<i8").tobytes())
-            out.write(np.array(lens, "<u8").tobytes())
-            out.write(np.array([len(c) for c in control], "<u8").tobytes())
-            out.write(np.array([len(x) for x in data], "<u8").tobytes())
-            for c in control:
-                out.write(c)
-            for x in data:
-                out.write(x)
+            out.write(n.astype("<u8").tobytes())
+            out.write((-(-n // 4)).astype("<u8").tobytes())
+            out.write(size.astype("<u8").tobytes())
+            for x in control + data:
+                out.write(x.tobytes())
         target.move(part, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays(
             [pa.array([ctx.partitionId()], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(docs)], pa.int64()), pa.array([count], pa.int64())],
@@ -177,29 +199,27 @@ def write_tokens(
 
 
 def read_shard(uri: str, by_rank: np.ndarray):
-    """Documents of a shard as (doc_id, ids), decoded one document at a time."""
+    """Documents of a shard as (doc_id, ids), decoded in blocks of documents."""
     target, path = _filesystem(uri)
     with target.open_input_file(path) as f:
         magic, n_docs, _, _ = struct.unpack(_HEAD, f.read(struct.calcsize(_HEAD)))
         if magic != MAGIC:
             raise ValueError(f"not a token shard: {uri}")
-        head = np.frombuffer(f.read(8 * n_docs), "<i8")
+        head = np.frombuffer(f.read(8 * n_docs), "<i8").tolist()
         lens, c_len, d_len = (np.frombuffer(f.read(8 * n_docs), "<u8").astype(np.int64) for _ in range(3))
         base = struct.calcsize(_HEAD) + 32 * n_docs
         c_at = base + np.cumsum(c_len) - c_len
         d_at = base + c_len.sum() + np.cumsum(d_len) - d_len
-        step = 512
-        for i in range(0, n_docs, step):
-            j = min(i + step, n_docs)
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        for i, j in doc_blocks(upto, _BLOCK):
             f.seek(int(c_at[i]))
             control = np.frombuffer(f.read(int(c_len[i:j].sum())), np.uint8)
             f.seek(int(d_at[i]))
             data = np.frombuffer(f.read(int(d_len[i:j].sum())), np.uint8)
-            c = d = 0
+            ids = by_rank[decode_ranks(control, data, lens[i:j])]
+            at = (upto[i : j + 1] - upto[i]).tolist()
             for k in range(i, j):
-                ranks = decode_ranks(control[c : c + c_len[k]], data[d : d + d_len[k]], int(lens[k]))
-                c, d = c + c_len[k], d + d_len[k]
-                yield (None if head[k] == NULL_ID else int(head[k])), by_rank[ranks]
+                yield (None if head[k] == NULL_ID else head[k]), ids[at[k - i] : at[k - i + 1]]
 
 
 def _read(folder: str):

@@ -231,8 +231,11 @@ def test_token_files(spark, docs, tmp_path):
     known = [g["doc_id"] for g in got if g["doc_id"] is not None]
     assert known == sorted(known)
     r = np.random.default_rng(0).integers(0, 1 << 32, 1001, dtype=np.uint64).astype(np.uint32) >> np.arange(1001, dtype=np.uint32) % 32
-    c, d = binary_output.encode_ranks(r)
-    assert (binary_output.decode_ranks(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), len(r)) == r).all()
+    lens = np.array([0, 1, 4, 0, 5, 990, 1, 0])
+    c, d, size = binary_output.encode_ranks(r, lens)
+    assert (binary_output.decode_ranks(c, d, lens) == r).all()
+    assert len(c) == 1 + 1 + 2 + 248 + 1 and size.sum() == len(d) and size[0] == 0
+    assert not len(binary_output.decode_ranks(*binary_output.encode_ranks(r[:0], lens[:1])[:2], lens[:1]))
 
 
 def test_pieces_equal_whole_texts():
