@@ -69,16 +69,12 @@ def _mine(batches):
                     seen.add("=" + word)
                     seen.update("^" + word[:n] for n in PREFIXES if len(word) > n)
                 (toxic if labels[i + k] else clean).update(seen)
-    keys = list(toxic)
+    # every count leaves the task, so that the sums over tasks are whole
+    keys = list(toxic | clean)
     yield pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())],
         ["key", "t", "c"],
     )
-    rest = [k for k, n in clean.items() if k not in toxic and n > 1]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([clean[k] for k in rest], pa.int64())],
-        ["key", "t", "c"],
-    )
 
 
 def mine_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> list[str]:

@@ -298,6 +298,14 @@ def test_toxicity(spark):
     assert toxicity.score(df, None).where("score <> 0").count() == 0
 
 
+def test_lexicon_at_any_number_of_tasks(spark):
+    rows = [(f"bozo plain filler{i:03d}", 1.0) for i in range(6)] + [(f"plain word{i:03d}", 0.0) for i in range(40)]
+    for n in (1, len(rows)):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string, toxic double")
+        mined = toxicity.mine_lexicon(df, 6, 40)
+        assert "=bozo" in mined and not any("plain".startswith(k[1:]) for k in mined), n
+
+
 def test_word_kernel_across_spans(monkeypatch):
     monkeypatch.setattr(textkernel, "_SPAN", 16)
     raw = np.frombuffer(b"one two  three one averyveryverylongwordindeed two one", np.uint8)
