@@ -10,7 +10,11 @@
    singular vectors by the Nystroem form of the sketch.
 4. Windows of 32 words, every 16 words, and the benchmark items are projected
    to the whitened latent space; items above a cosine are candidates.
-5. A candidate is confirmed on the words around the window: the longest common
+5. Places with a run of RUN words of an item (all its words, if it has fewer)
+   are candidates too, whatever the cosine.  So an item that stands in a text
+   word for word, however short, always is one.
+6. A candidate is confirmed on the words around the window, or those where the
+   item would stand by the run and a quarter to each side: the longest common
    subsequence must cover most of the item, or a good part of it if it covers
    the item's answer, its last sentence.
 
@@ -38,6 +42,8 @@ TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
 PASSAGE, STEP = 256, 16
 COSINE = 0.33
+#: Words in a run.
+RUN = 3
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 8
 BLOCK = 2048
@@ -214,10 +220,59 @@ def judge_match(words: list[int], answer_at: int, region: list[int]) -> tuple[fl
     return whole, part, whole >= LCS_ALONE or (whole >= LCS_WITH_ANSWER and part >= ANSWER)
 
 
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the ``size`` words from every word on, as far as there are so many."""
+    n = max(0, len(h) - size + 1)
+    v = tk.mix(h[:n].astype(np.uint64))
+    for k in range(1, size):
+        v = tk.mix(v + h[k : k + n])
+    return v
+
+
+def run_table(items: list) -> list[tuple]:
+    """(size, run hashes in order, first place of each in the rest, items, words before the run) per size of run."""
+    parts: dict[int, list] = {}
+    for k, (_, words, _) in enumerate(items):
+        size = min(RUN, len(words))
+        mine = _runs(np.array(words, np.uint32), size)
+        parts.setdefault(size, []).append((mine, np.full(len(mine), k), np.arange(len(mine))))
+    out = []
+    for size, part in parts.items():
+        runs, item, before = (np.concatenate(x) for x in zip(*part, strict=True))
+        order = np.argsort(runs, kind="stable")
+        keys, first = np.unique(runs[order], return_index=True)
+        out.append((size, keys, np.append(first, len(runs)), item[order], before[order]))
+    return out
+
+
+def _run_hits(table: list[tuple], gates: list[np.ndarray], h: np.ndarray, within: np.ndarray, left: np.ndarray, doc: np.ndarray) -> list[list[int]]:
+    """[document, word at which the item would begin, item] of the runs found in ``h``.
+
+    ``within`` and ``left`` are the words of a word's document before it and from it on.
+    """
+    hits = [np.zeros((0, 3), np.int64)]
+    for (size, keys, first, item, before), gate in zip(table, gates, strict=True):
+        g = _runs(h, size)
+        p = np.flatnonzero(gate[g >> np.uint64(44)])
+        j = np.minimum(np.searchsorted(keys, g[p]), len(keys) - 1)
+        good = (keys[j] == g[p]) & (left[p] >= size)
+        p, j = p[good], j[good]
+        n = first[j + 1] - first[j]
+        at = np.arange(n.sum()) + np.repeat(first[j] - (np.cumsum(n) - n), n)
+        p = np.repeat(p, n)
+        hits.append(np.stack([doc[p], within[p] - before[at], item[at]], axis=1))
+    return np.unique(np.concatenate(hits), axis=0).tolist()
+
+
 def _search(items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: float):
     zero = np.zeros((1, RANK), np.float32)
+    runs = run_table(items)
 
     def run(batches):
+        gates = []
+        for _, keys, *_ in runs:
+            gates.append(np.zeros(1 << 20, bool))
+            gates[-1][keys >> np.uint64(44)] = True
         table = np.concatenate([vectors, zero])
         item_t = np.ascontiguousarray(item_vec.T)
         for batch in batches:
@@ -239,8 +294,8 @@ def _search(items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: floa
                 same = np.flatnonzero(doc[:-1] == doc[1:])
                 pair[same] += sums[same + 1]
                 cos = _unit(pair) @ item_t
-                win, item = np.nonzero(cos >= cosine)
                 first_step = np.cumsum(steps) - steps
+                win, item = np.nonzero(cos >= cosine)
                 best: dict[tuple[int, int], tuple] = {}
                 for w, k in zip(win.tolist(), item.tolist(), strict=True):
                     d = int(doc[w])
@@ -253,6 +308,16 @@ def _search(items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: floa
                     whole, part, leak = judge_match(words, answer_at, region)
                     if leak:
                         best[d, k] = (float(cos[w, k]), whole, part, True)
+                within = np.arange(len(h)) - np.repeat(start, n)
+                for d, at, k in _run_hits(runs, gates, h, within, np.repeat(n, n) - within, np.repeat(np.arange(len(n)), n)):
+                    if (d, k) in best:
+                        continue
+                    _, words, answer_at = items[k]
+                    m, at0 = len(words), max(0, at)
+                    region = h[start[d] + max(0, at - m // 4) : start[d] + min(int(n[d]), at + m + m // 4)].tolist()
+                    whole, part, leak = judge_match(words, answer_at, region)
+                    if leak:
+                        best[d, k] = (float(cos[first_step[d] + at0 // STEP, k]), whole, part, True)
                 found += [(i0 + d, items[k][0], *v[:3]) for (d, k), v in best.items()]
             if found:
                 row, ident, *rest = zip(*found, strict=True)

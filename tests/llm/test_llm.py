@@ -275,6 +275,18 @@ def test_leaks(spark):
     assert decontam.lcs([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+def test_verbatim_leaks_at_any_cosine(spark):
+    rnd = np.random.default_rng(9)
+    def words(n):
+        return [f"t{x}" for x in rnd.zipf(1.3, n) % 3000]
+    items = [(k, " ".join(words(15 + 4 * k))) for k in range(12)]
+    rows = [(k, " ".join(words(150) + [items[k][1]] + words(90))) for k in range(12)] + [(50, " ".join(words(300)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench, cosine=2.0).collect()}
+    assert got == {(k, k) for k in range(12)}
+
+
 def test_toxicity(spark):
     rnd = np.random.default_rng(6)
     clean = [f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in range(400)]
