@@ -287,6 +287,18 @@ def test_verbatim_leaks_at_any_cosine(spark):
     assert got == {(k, k) for k in range(12)}
 
 
+def test_short_leaks(spark):
+    rnd = np.random.default_rng(11)
+    def words(n):
+        return [f"t{x}" for x in rnd.zipf(1.3, n) % 3000]
+    items = [(m, " ".join(f"t{1000 * m + x}" for x in range(m))) for m in range(1, 8)]
+    rows = [(m, " ".join(words(100) + [x] + words(80))) for m, x in items] + [(50, " ".join(words(300)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench, cosine=2.0).collect()}
+    assert got >= {(m, m) for m in range(1, 8)}
+
+
 def test_toxicity(spark):
     rnd = np.random.default_rng(6)
     clean = [f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in range(400)]
