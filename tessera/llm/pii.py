@@ -91,8 +91,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     if "@" in text:
         spans += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    if _DIGIT.search(text):
+    if "=" in text or ":" in text:
         spans += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
+    if _DIGIT.search(text):
         spans += [(*m.span(), m.lastgroup) for m in _NUMBERS.finditer(text)]
     for m in _NAME.finditer(text) if _TITLED.search(text) else ():
         spans.append((*m.span("name"), "name_" + TITLES[m["title"]]))

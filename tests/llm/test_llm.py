@@ -253,6 +253,12 @@ def test_pieces_equal_whole_texts():
         assert all(got[i] == whole_ids(t) for i, t in enumerate(texts))
 
 
+def test_secret_without_digits():
+    text = "password = correcthorsebattery"
+    assert [text[a:b] for a, b, kind in pii.find(text) if kind == "secret"] == ["correcthorsebattery"]
+    assert pii.find("a plain text: no entities = none") == []
+
+
 def test_leaks(spark):
     rnd = np.random.default_rng(4)
     def words(n):
