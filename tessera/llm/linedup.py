@@ -2,7 +2,9 @@
 
 Pages are grouped by host; for each line, the host's pages that contain it are
 divided by the host's pages; lines above the ratio are boilerplate and are
-dropped from every page of the host.  Exact copies of a page count once on both
+dropped from every page of the host, if at least MIN_PAGES (5) of its distinct
+pages contain them; so on hosts with under 50 distinct pages the threshold is 5
+pages, and on hosts with up to 4 pages every line stays.  Exact copies of a page count once on both
 sides of the division, else a page crawled a thousand times would make its own
 content look like boilerplate.
 
