@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linedup, neardup, packing, quality
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.support import release, scratch_mark, stage, table
+from tessera.llm.support import scratch_scope, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,34 +40,20 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, tokenizer_path())
 
 
-_made = [0, 0]
-
-
-def _tidy(f):
-    """``f`` after deleting what the stage before it left in the shared folder,
-    but for what its documents still read."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, *_made, still_read=docs)
-        _made[0] = scratch_mark()
-        out = f(spark, docs, sf_dir)
-        _made[1] = scratch_mark()
-        return out
-
-    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
-    return run_stage
-
-
-STAGES = [(f.__name__, _tidy(f)) for f in (quality_rules, line_dedup, near_dedup, decontamination, best_fit_packing)]
+STAGES = [(f.__name__, f) for f in (quality_rules, line_dedup, near_dedup, decontamination, best_fit_packing)]
 
 #: Near-duplicate components, latent search and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one run writes between them is deleted by that run alone,
+    as soon as the next stage is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
+    with scratch_scope(spark) as scratch:
+        for k, (name, f) in enumerate(STAGES):
+            docs = f(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stage(docs, name)
+                scratch.release(docs)
     return docs

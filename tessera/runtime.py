@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,6 @@ REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
-_SCRATCH: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,12 +58,14 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    is made and used instead.
+    Only where that setting is absent and all runs on this machine (tests) a
+    temporary folder is made and used instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -69,31 +73,51 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    """A fresh path in the shared folder, deleted by the scope around the call
+    or when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}/{name}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
-    _SCRATCH.append(str(folder))
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(str(folder))
     return path
 
 
-def scratch_mark() -> int:
-    """A mark for ``release``: the number of scratch folders made so far."""
-    return len(_SCRATCH)
+class Scratch:
+    """Scratch folders made inside one ``scratch_scope``."""
 
+    def __init__(self, spark: SparkSession, folders: list[str]):
+        self.spark, self.folders = spark, folders
 
-def release(spark: SparkSession, start: int, end: int, still_read: DataFrame | None = None) -> None:
-    """Delete the scratch folders made between two marks, but for those that
-    ``still_read`` reads."""
-    read = still_read.inputFiles() if still_read is not None else []
-    for k in range(start, end):
-        folder = _SCRATCH[k]
-        if folder and not any(folder.split(":", 1)[-1] in f for f in read):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _SCRATCH[k] = ""
+    def release(self, *still_read: DataFrame) -> None:
+        """Delete the folders made so far, but for those that ``still_read`` reads."""
+        read = {f.split("/tessera/", 1)[1].split("/", 1)[0] for df in still_read for f in df.inputFiles() if "/tessera/" in f}
+        for folder in [f for f in self.folders if f.rsplit("/", 1)[1] not in read]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, True)
+            fs.cancelDeleteOnExit(path)
+            self.folders.remove(folder)
+
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Collects the scratch folders made inside, and only those; what is left at
+    the end belongs to the scope around it."""
+    outer, own = _SCOPE.get(), []
+    token = _SCOPE.set(own)
+    try:
+        yield Scratch(spark, own)
+    finally:
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer += own
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
