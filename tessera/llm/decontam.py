@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, stage, without_ids
+from .support import arrow_text, doc_blocks, scratch_scope, stage, without_ids
 
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
@@ -369,5 +369,7 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents in which an item was found."""
-    gone = stage(find_leaks(docs, benchmark, id_col, text).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
+    with scratch_scope(docs.sparkSession) as scratch:
+        gone = stage(find_leaks(docs, benchmark, id_col, text).select("doc_id").distinct(), "leaks")
+        scratch.release(gone)
     return without_ids(docs, id_col, gone)

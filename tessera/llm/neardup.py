@@ -1,10 +1,12 @@
 """Near-duplicate documents: b-bit MinHash candidates, exact confirmation.
 
 1. One Arrow pass makes per document the distinct 5-word shingles (64-bit
-   hashes), a fingerprint of that set, 160 minima, their low two bits packed
-   into five longs, and 32 band keys of five minima each.
-2. Equal sets are one class; its smallest id stands for it.  Only these
-   representatives go on, so a group of a million copies is one node.
+   hashes), a 128-bit cryptographic digest (BLAKE2b) of its words, 160 minima,
+   their low two bits packed into five longs, and 32 band keys of five minima each.
+2. Documents with the same words in the same order, by that digest, are one
+   class; its smallest id stands for it.  Only these representatives go on, so a
+   group of a million copies is one node.  Equal sets of other word sequences are
+   linked like all other pairs, on their full sets.
 3. Round one links each member of a band bucket to the bucket's smallest id (a
    star, never all pairs).  Packed signatures give a collision-corrected
    estimate by bit counts; pairs that pass by a wide margin are confirmed on
@@ -24,25 +26,30 @@ estimate is off by the margin (six deviations) with about 1e-9.
 
 Defined results: a null or empty text has no shingles and is linked with
 nothing; fewer than five words make one shingle of the whole sequence; rows
-that share an id are one node; a null id is linked with nothing and stays.
-Extra columns are ignored or, in ``keep_one``, passed through.
+that share an id are one node, and ``keep_one`` keeps one row of them; a null id
+is linked with nothing and stays.  Extra columns are ignored or, in ``keep_one``,
+passed through.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, list_column, stage, without_ids
+from .support import arrow_text, doc_blocks, free_name, list_column, scratch_scope, stage, without_ids
 
 BANDS, ROWS, BITS, SHINGLE = 32, 5, 2, 5
 PERMS = BANDS * ROWS
 MARGIN = 0.24
 #: Pairs of an open bucket's rows, per row, from which a star comes before pairing.
 MANY = 50
+#: Classes of copies whose representatives are broadcast (some tens of KB).
+HEAVY = 1000
 #: Bits of the map of candidate ids that goes to the tasks (2 MB), and its largest load.
 SLOTS = 1 << 24
 _LONGS = PERMS * BITS // 64
@@ -64,30 +71,31 @@ def _minima(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _each_set(batches):
-    """(id column, list of shingle sets) per block of documents."""
+    """(id column, list of shingle sets, lower-cased texts) per block of documents."""
     for batch in batches:
         raw, bounds = arrow_text(batch.column(1))
         for i, j in doc_blocks(bounds):
-            block = tk.lowered(raw[bounds[i] : bounds[j]])
-            s, e, d = tk.words(block, bounds[i : j + 1] - bounds[i])
+            block, at = tk.lowered(raw[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i]
+            s, e, d = tk.words(block, at)
             n = np.bincount(d, minlength=j - i) if len(d) else np.zeros(j - i, np.int64)
-            yield batch.column(0).slice(i, j - i), tk.shingles(tk.hash_words(block, s, e), n, SHINGLE)
+            texts = (block[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            yield batch.column(0).slice(i, j - i), tk.shingles(tk.hash_words(block, s, e), n, SHINGLE), texts
 
 
 def _sketch(batches):
     a, b = _permutations()
     band = tk.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[:, None]
     shift = np.arange(0, 64, BITS, dtype=np.uint64)
-    for ids, sets in _each_set(batches):
+    for ids, sets, texts in _each_set(batches):
         n = np.array([len(x) for x in sets], np.int64)
         keys = np.zeros((len(sets), BANDS), np.uint64)
         sig = np.zeros((len(sets), _LONGS), np.uint64)
         fp = np.zeros((2, len(sets)), np.uint64)
-        for r, sh in enumerate(sets):
+        for r, (sh, text) in enumerate(zip(sets, texts, strict=True)):
             if not len(sh):
                 continue
-            fp[0, r] = sh.sum(dtype=np.uint64)
-            fp[1, r] = tk.mix(sh ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+            # bytes.split cuts at the same six white-space bytes as the words
+            fp[:, r] = np.frombuffer(blake2b(b" ".join(text.split()), digest_size=16).digest(), np.uint64)
             low = _minima(sh, a, b).astype(np.uint64)
             h = band.copy()
             for col in low.reshape(BANDS, ROWS).T:
@@ -108,7 +116,7 @@ def _sets(bits: np.ndarray | None):
             if bits is not None:
                 slot = batch.column(2).to_numpy(zero_copy_only=False)
                 batch = batch.take(pa.array(np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)))
-            for ids, sets in _each_set([batch]):
+            for ids, sets, _ in _each_set([batch]):
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, list_column(flat, [len(x) for x in sets])], ["doc_id", "sh"])
 
@@ -270,16 +278,42 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
 def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``, linking documents
     whose shingle sets have a similarity of num/den or more."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    with scratch_scope(docs.sparkSession) as scratch:
+        out = _link(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den)
+        scratch.release(out)
+    return out
+
+
+def _classes(sketches: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, rep): the smallest id of each row's class.
+
+    The HEAVY largest classes are broadcast, so no key of the join that finds the
+    others holds a large share of the rows.
+    """
+    rows = sketches.select("doc_id", "n_shingles", "fp1", "fp2")
+    usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    copies = rows.where(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = stage(copies.where("copies > 1"), "copies")
+    order = ["copies", "fp1", "fp2"]
+    heavy = copies.orderBy(F.desc("copies"), "fp1", "fp2").limit(HEAVY)
+    key = ["fp1", "fp2"]
+    known = rows.where(usable).join(F.broadcast(heavy), key, "left")
+    light = copies.join(F.broadcast(heavy.select(*order)), order, "left_anti").select(*key, F.col("rep").alias("own"))
+    return stage(
+        known.where("rep IS NOT NULL")
+        .select("doc_id", "n_shingles", "rep")
+        .unionByName(known.where("rep IS NULL").drop("rep").join(light, key, "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("rep")))
+        .unionByName(rows.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))),
+        "members",
+    )
+
+
+def _link(src: DataFrame, num: int, den: int) -> DataFrame:
     sketches = stage(sketch(src), "sketches")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"))
-    members = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(
-        classes.withColumnRenamed("fp1", "c1").withColumnRenamed("fp2", "c2"),
-        (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")) & (F.col("n_shingles") == F.col("n")),
-        "left",
-    ).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = _classes(sketches)
+    others = members.where("rep <> doc_id").select(F.col("doc_id").alias("other")).distinct()
+    reps = usable.join(others, F.col("doc_id") == F.col("other"), "left_anti")
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
@@ -298,18 +332,32 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id",
     ids = stage(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     links = stage(confirm(tested, shingle_sets(src, ids), num, den), "links")
     comp = _across(buckets, sig, None, src, links, star, num, den)
-    out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
+    return members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")
     )
-    return out
 
 
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without documents that a smaller id of their component stands for."""
-    gone = (
-        link(docs, num, den, id_col, text)
-        .where("component_id < doc_id")
-        .select(F.col("doc_id").alias("__gone"))
-        .distinct()
-    )
-    return without_ids(docs, id_col, stage(gone, "gone"))
+    with scratch_scope(docs.sparkSession) as scratch:
+        linked = stage(link(docs, num, den, id_col, text), "linked")
+        gone = stage(linked.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+        again = stage(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+        out = without_ids(docs, id_col, gone)
+        if again.limit(1).count():
+            out = _one_row_each(out, id_col, text, again)
+        scratch.release(out)
+    return out
+
+
+def _one_row_each(docs: DataFrame, id_col: str, text: str, again: DataFrame) -> DataFrame:
+    """``docs`` with one row of each id in ``again``: the least by hash of its text.
+
+    Rows of one id are reduced map-side, so an id may hold any share of them.
+    """
+    own = F.col(f"`{id_col}`").cast("bigint")
+    rest = without_ids(docs, id_col, again)
+    doubled = docs.join(again.toDF(name := free_name(docs.columns, "again")), own == F.col(name), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = doubled.groupBy(own.alias("id")).agg(F.min_by(row, F.xxhash64(F.col(f"`{text}`"))).alias("row"))
+    return rest.union(one.select("row.*"))

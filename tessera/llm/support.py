@@ -8,13 +8,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import release, scratch_mark, scratch_path, ship, stage  # noqa: F401  (used by the operators)
+from ..runtime import scratch_path, scratch_scope, ship, stage  # noqa: F401  (used by the operators)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns, base: str) -> str:
+    """``base``, with underscores after it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def bind(value: Column, fn) -> Column:
     """Evaluate ``value`` once per row and hand it to ``fn`` (a let-binding)."""
     return F.element_at(F.transform(F.array(value), fn), 1)
@@ -60,6 +68,7 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     Up to BROADCAST_IDS ids, counted, are broadcast, so texts need no shuffle;
     more are joined by shuffle.
     """
-    (name,) = gone.columns
+    name = free_name(docs.columns, "gone")
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("bigint") == F.col(name), "left_anti")
+    gone = gone.toDF(name)
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")

@@ -16,20 +16,10 @@ NOT_SPACE = ~((_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13)))
 ALNUM = ((_ALL >= 48) & (_ALL <= 57)) | ((_ALL >= 97) & (_ALL <= 122)) | (_ALL >= 128)
 _LOWER = np.where((_ALL >= 65) & (_ALL <= 90), _ALL + 32, _ALL).astype(np.uint8)
 
+#: Lanes (eight bytes of a word) handled at once, and the bits of a lane by its number of bytes.
+_LANES = 1 << 17
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_SPAN = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n + 1:
-        size = max(n + 1, _SPAN + 1)
-        for key, base in (("p", _P), ("i", _P_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["p"], _powers["i"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,20 +55,54 @@ def words(raw: np.ndarray, bounds: np.ndarray, kind: np.ndarray = NOT_SPACE):
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as one number; zeros follow the end."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _later_lanes(n: np.ndarray):
+    """(word, byte in the word, bytes of the lane) of all lanes but each word's
+    first, in spans of bounded size, however long a word is."""
+    upto = np.cumsum((n - 1) >> 3)
+    for a in range(0, int(upto[-1]) if len(upto) else 0, _LANES):
+        lane = np.arange(a, min(a + _LANES, int(upto[-1])))
+        w = np.searchsorted(upto, lane, "right")
+        at = (lane - (upto[w] - ((n[w] - 1) >> 3)) + 1) * 8
+        yield w, at, np.minimum(n[w] - at, 8)
+
+
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, computed in spans of bounded size."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, "right")))
-        a, b = starts[i], ends[j - 1]
-        p, inv = _power_tables(int(b - a))
-        acc = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=acc[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+    """A 64-bit hash of each word's bytes.
+
+    Lanes are mixed with their place in the word and then summed, so neither
+    repetition nor order within a long word can cancel out.
+    """
+    n, view = ends - starts, _lanes(raw)
+    h = mix(view[starts] & _MASK[np.minimum(n, 8)])
+    long = np.flatnonzero(n > 8)
+    for w, at, size in _later_lanes(n[long]):
+        v = mix(view[starts[long[w]] + at] & _MASK[size] ^ at.astype(np.uint64) * _P)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        h[long[w[first]]] += np.add.reduceat(v, first)
+    return mix(h + n.astype(np.uint64) * _P)
+
+
+def piece_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each piece: up to seven bytes stand for themselves, others by their hash."""
+    n = ends - starts
+    key = _lanes(raw)[starts] & _MASK[np.minimum(n, 7)] | n.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(n > 7)
+    key[long] = hash_words(raw, starts[long], ends[long])
+    return key
+
+
+def same_bytes(raw: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the ``n`` bytes from ``a`` on are those from ``b`` on, for all pairs."""
+    view = _lanes(raw)
+    if ((view[a] ^ view[b]) & _MASK[np.minimum(n, 8)]).any():
+        return False
+    long = np.flatnonzero(n > 8)
+    return not any(((view[a[long[w]] + at] ^ view[b[long[w]] + at]) & _MASK[size]).any() for w, at, size in _later_lanes(n[long]))
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> list[np.ndarray]:
@@ -98,9 +122,9 @@ def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> list[np.ndarray]:
         if c >= k:
             out.append(np.unique(rolled[at : at + c - k + 1]))
         elif c:
-            v = np.uint64(c)
+            v = np.full(1, c, np.uint64)
             for i in range(c):
-                v = mix((v * coef[0] + h[at + i : at + i + 1]))
+                v = mix(v * coef[0] + h[at + i : at + i + 1])
             out.append(v)
         else:
             out.append(rolled[:0])

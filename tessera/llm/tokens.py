@@ -2,13 +2,15 @@
 
 A byte-level BPE never joins a non-space character with a white-space
 character after it, so a text may be cut before every white-space run and its
-pieces encoded apart.  A block of texts is cut and hashed by numpy.  Its distinct
+pieces encoded apart.  A block of texts is cut by numpy.  Its distinct
 pieces of Latin letters, with at most one white-space byte before and marks after,
 are cut into the parts that the splitter would make; the library's model encodes
 many parts in one call, set apart by a byte that no merge holds.  Other pieces are
-encoded one by one.  One gather puts the ids of all pieces together.  Texts with
-characters whose white-space class differs between engines are encoded whole, as
-are all texts when the file is no byte-level BPE with the usual split.
+encoded one by one.  One gather puts the ids of all pieces together.  Pieces are
+found equal by a key and then compared byte by byte.  Texts with characters whose
+white-space class differs between engines or with an added token of the file
+(such as an end-of-text mark) are encoded whole, as are all texts when the file
+is no byte-level BPE with the usual split.
 """
 
 from __future__ import annotations
@@ -49,11 +51,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         spec = json.loads(self.tokenizer.to_str())
+        #: Texts that hold one of these are encoded whole, as the library finds them before it splits.
+        self._added = [t["content"].encode() for t in spec.get("added_tokens") or ()]
         split = spec.get("pre_tokenizer") or {}
         #: Only a byte-level BPE with the usual split pattern may be cut into pieces.
         self.by_piece = (
@@ -130,7 +133,10 @@ class Encoder:
         first[bounds[:-1][bounds[:-1] < len(raw)]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(raw))
-        _, at, which = np.unique(tk.hash_words(raw, starts, ends), return_index=True, return_inverse=True)
+        _, at, which = np.unique(tk.piece_keys(raw, starts, ends), return_index=True, return_inverse=True)
+        same = at[which]
+        if not (np.array_equal(ends - starts, (ends - starts)[same]) and tk.same_bytes(raw, ends - starts, starts, starts[same])):
+            at = which = np.arange(len(starts))  # two pieces share a key: each is encoded by itself
         # distinct pieces in the order of the text, so that what follows reads it in order
         order = np.argsort(at)
         place = np.empty(len(at), np.int64)
@@ -158,6 +164,9 @@ class Encoder:
         before = np.concatenate([[0], done])[np.searchsorted(starts, bounds)]
         return out, np.diff(before)
 
+    def _holds_added(self, data: bytes) -> bool:
+        return any(t in data for t in self._added)
+
     def encode_column(self, col):
         """(first row, ids per row, all ids) of blocks of an Arrow string column; null is empty."""
         raw, bounds = arrow_text(col)
@@ -165,16 +174,17 @@ class Encoder:
             own, at = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             if not len(own):
                 yield i, np.zeros(j - i, np.int64), np.zeros(0, self.dtype)
-            elif self.by_piece and not (_LEADS[own] | (own == 0xC2)).any():
+                continue
+            data = own.tobytes()
+            if self.by_piece and not (_LEADS[own] | (own == 0xC2)).any() and not self._holds_added(data):
                 ids, n = self._block(own, at)
                 yield i, n, ids
             else:  # look closer, text by text
-                data = own.tobytes()
                 for k in range(j - i):
                     text = data[at[k] : at[k + 1]]
                     if not text:
                         yield i + k, np.zeros(1, np.int64), np.zeros(0, self.dtype)
-                    elif self.by_piece and not _WIDE.search(text):
+                    elif self.by_piece and not _WIDE.search(text) and not self._holds_added(text):
                         ids, n = self._block(own[at[k] : at[k + 1]], np.array([0, len(text)]))
                         yield i + k, n, ids
                     else:

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -169,8 +170,6 @@ def test_packing_of_histograms():
 
 
 def test_reduction_is_optimal_on_small_cases():
-    from functools import lru_cache
-
     @lru_cache(None)
     def best(items, size):
         if not items:
@@ -191,8 +190,15 @@ def test_reduction_is_optimal_on_small_cases():
         assert sum(k for k, _ in fixed) + best(left, 10) == best(items, 10)
 
 
+@lru_cache
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
 def whole_ids(text):
-    return tokens.encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return fresh_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_query(docs):
@@ -336,15 +342,71 @@ def test_lexicon_at_any_number_of_tasks(spark):
         assert "=bozo" in mined and not any("plain".startswith(k[1:]) for k in mined), n
 
 
-def test_word_kernel_across_spans(monkeypatch):
-    monkeypatch.setattr(textkernel, "_SPAN", 16)
+def thue_morse(n):
+    """Two words that are each other's complement; sums of powers can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("lanes", [1 << 17, 3])
+def test_word_kernel(monkeypatch, lanes):
+    monkeypatch.setattr(textkernel, "_LANES", lanes)
     raw = np.frombuffer(b"one two  three one averyveryverylongwordindeed two one", np.uint8)
     s, e, d = textkernel.words(raw, np.array([0, 8, 8, len(raw)]))
-    h = textkernel.hash_words(raw, s, e)
-    seen = {}
-    for a, b, x in zip(s, e, h):
-        assert seen.setdefault(raw[a:b].tobytes(), x) == x
-    assert len(set(h.tolist())) == len(seen) and d.tolist() == [0, 0, 2, 2, 2, 2, 2]
+    assert d.tolist() == [0, 0, 2, 2, 2, 2, 2]
+    rnd = np.random.default_rng(1)
+    texts = [" ".join("ab"[x] * n for x, n in zip(rnd.integers(0, 2, 300), rnd.integers(1, 40, 300))), *thue_morse(1024), *thue_morse(4096), "a" * 16, "a" * 17, "\0" * 9, "\0" * 8]
+    raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    s, e, _ = textkernel.words(raw, np.array([0, len(raw)]))
+    for hashed in (textkernel.hash_words(raw, s, e), textkernel.piece_keys(raw, s, e)):
+        seen = {}
+        for a, b, x in zip(s, e, hashed):
+            assert seen.setdefault(raw[a:b].tobytes(), x) == x
+        assert len(set(seen.values())) == len(seen)
+    n = np.array([1024, 4096, 4096])
+    at = np.array([raw.tobytes().index(x.encode()) for x in (*thue_morse(1024), *thue_morse(4096))])
+    assert textkernel.same_bytes(raw, n[:2], at[[0, 2]], at[[0, 2]]) and not textkernel.same_bytes(raw, n[:1], at[:1], at[1:2])
+
+
+def test_colliding_words(spark):
+    """Long words of equal letters in another order are other words, ids and documents."""
+    rows = [(k, w) for k, w in enumerate((*thue_morse(1024), *thue_morse(4096)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.link(df).collect()} == {k: k for k in range(4)}
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack(df, tokenizer_path(), size=1 << 20).collect()}
+    assert got == {k: zlib.crc32(np.array([*whole_ids(w), 0], "<u4").tobytes()) for k, w in rows}
+
+
+def test_pieces_with_one_key(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(textkernel, "piece_keys", lambda raw, s, e: np.zeros(len(s), np.uint64))
+    texts = ["one two three two", "four"]
+    _, n, ids = next(tokens.encoder(tokenizer_path()).encode_column(pa.array(texts)))
+    assert ids.tolist() == whole_ids(texts[0]) + whole_ids(texts[1])
+
+
+def test_near_duplicates_sharing_ids(spark):
+    """A group of copies over many ids, some of them repeated, and columns with clashing names."""
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(k % 40, text, k, k) for k in range(80)] + [(50, None, 1, 1), (50, None, 2, 2), (60, "", 3, 3), (None, text, 4, 4)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, gone int, `again` int")
+    kept = neardup.keep_one(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 0), (False, 50), (False, 60), (True, None)]
+    assert neardup.keep_one(df).columns == df.columns
+
+
+def test_runs_of_the_pipeline_keep_to_themselves(spark, tmp_path):
+    import corpus_pipeline
+    import pandas as pd
+
+    words = [f"the of word{k} stands" for k in range(40)]
+    rows = [(k, " ".join(words[k % 5 : 30 + k % 5]) + f" {k} " + " and the ".join(words[:k]), "en", "s", 0) for k in range(8)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(0, "nothing like it")], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    second = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, first.drop("sequence_id", "offset").collect())) == sorted(map(tuple, second.drop("sequence_id", "offset").collect()))
 
 
 def test_pipeline_small(spark, tmp_path):
