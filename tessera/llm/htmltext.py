@@ -8,25 +8,34 @@ blocks on lines of their own with blank lines around paragraphs, numbers or
 bullets list items, and aligns the cells of each table in columns.
 
 Defined results: null markup gives null text, empty markup gives empty text;
-unclosed, misnested or cut-off markup is closed at the end of the page; text
-outside any tag is shown.  Repeated rows are treated alike and all columns of
-the input pass through.
+unclosed or misnested markup is closed at the end of the page; a tag without an
+end hides what follows; text outside any tag is shown.  Elements nested deeper
+than MAX_DEPTH hang on the element at that depth, a table inside a table cell is
+shown on the cell's line, lists are indented by MAX_INDENT characters at most and
+a table whose padding would be much longer than its text is shown unpadded, so
+time and output grow in proportion to the page.  Repeated rows are treated alike
+and all columns of the input pass through.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+from .support import free_name
+
+#: Deepest element of a tree, widest indent, and what padding may add to a table.
+MAX_DEPTH, MAX_INDENT, MAX_PADDING = 512, 64, 1 << 16
+MAX_SPAN = 1000
+#: Name and attributes of a tag; a quote opens a value only after "=", and no part is scanned twice.
+_TAG = re.compile(r"</?+(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -82,9 +91,26 @@ class Node:
 def build_tree(markup: str) -> Node:
     root = Node("#root")
     stack = [root]
+    is_open: Counter[str] = Counter()  # names on the stack, so that most tags need not look through it
+
+    def cut_at(i: int) -> None:
+        for x in stack[i:]:
+            is_open[x.name] -= 1
+        del stack[i:]
+
+    skipped: Counter[str] = Counter()  # elements beyond MAX_DEPTH that are still open
+
+    def push(node: Node) -> None:
+        if len(stack) < MAX_DEPTH:
+            stack.append(node)
+            is_open[node.name] += 1
+        else:
+            skipped[node.name] += 1
 
     def close(names, fences) -> None:
         """Ends the outermost of ``names`` that is open within the nearest fence."""
+        if not any(is_open[x] for x in names):
+            return
         cut = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in fences:
@@ -92,58 +118,77 @@ def build_tree(markup: str) -> Node:
             if stack[i].name in names:
                 cut = i
         if cut:
-            del stack[cut:]
+            cut_at(cut)
 
-    at, size = 0, len(markup)
+    at, shown, size = 0, 0, len(markup)
     while at < size:
-        m = _TOKEN.search(markup, at)
-        if not m:
-            stack[-1].children.append(markup[at:])
+        start = markup.find("<", at)
+        if start < 0 or start + 1 == size:
             break
-        if m.start() > at:
-            stack[-1].children.append(markup[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
+        c = markup[start + 1]
+        ending = c == "/"
+        letter = markup[start + 2 : start + 3] if ending else c
+        tag = None
+        if "a" <= letter.lower() <= "z" and letter.isascii():
+            tag = _TAG.match(markup, start)
+            stop = tag.end() if tag else size
+        elif markup.startswith("<!--", start):
+            stop = markup.find("-->", start + 4) + 3
+        elif c in "!?/":
+            stop = markup.find(">", start) + 1
+        else:  # no markup
+            at = start + 1
+            continue
+        if stop < start + 3 and not tag:
+            stop = size
+        if start > shown:
+            stack[-1].children.append(markup[shown:start])
+        at = shown = stop
+        if not tag:
             continue
-        name = name.lower()
-        if m["end"]:
+        name, attrs = tag["name"].lower(), tag["attrs"]
+        if ending:
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-            else:
+            elif skipped[name]:
+                skipped[name] -= 1
+            elif is_open[name]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        del stack[i:]
+                        cut_at(i)
+                        skipped.clear()
                         break
                     if stack[i].name in ("table", "td", "th") and name not in ("table", "tbody", "thead", "tfoot", "tr", "html", "body"):
                         break
+            elif name == "p":
+                stack[-1].children.append(Node("p"))
             continue
         if name in CLOSES_P:
             close(("p",), _FENCES)
         elif stack[-1].name == "head" and name not in NEVER_SHOWN:
-            stack.pop()
+            cut_at(len(stack) - 1)
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in ("td", "th") and stack[-1].name not in ("tr", "#root"):
             if stack[-1].name in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
         if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
-            stack.pop()
-        node = Node(name, m["attrs"] or "")
+            cut_at(len(stack) - 1)
+        node = Node(name, attrs)
         stack[-1].children.append(node)
-        if name in VOID or (m["attrs"] or "").endswith("/") and name not in BLOCK and name not in RAW:
+        if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(markup, at)
             stop = end.start() if end else size
             node.children.append(markup[at:stop])
-            at = (markup.find(">", stop) + 1 or size) if end else size
+            at = shown = (markup.find(">", stop) + 1 or size) if end else size
             continue
-        stack.append(node)
+        push(node)
+    if shown < size:
+        stack[-1].children.append(markup[shown:])
     return root
 
 
@@ -205,47 +250,71 @@ class _Page:
 
 
 def _flat(node: Node) -> str:
+    """All below ``node`` on one line."""
     page = _Page()
-    _render(node, page, None)
+    _render(node, page, None, flat=True)
     return " ".join(x.strip() for x in page.result() if x.strip())
 
 
-def _rows(node: Node, out: list[list[str]], captions: list[str]) -> None:
-    for c in node.children:
-        if isinstance(c, str):
-            if c.strip():
-                captions.append(_SPACES.sub(" ", html.unescape(c)).strip())
+def _one_line(text: str) -> str:
+    return _SPACES.sub(" ", html.unescape(text)).strip()
+
+
+def _row(node: Node, room: list[int]) -> list[str]:
+    """A row's cells; ``room`` is how many empty ones the table's wide cells may still add."""
+    row: list[str] = []
+    for d in node.children:
+        if isinstance(d, str):
+            if d.strip():
+                row.append(_one_line(d))
+        elif not d.hidden():
+            row.append(_flat(d))
+            span = d.attributes().get("colspan", "1") if d.attrs else "1"
+            span = int(span) if re.fullmatch("[0-9]{1,4}", span) else 1
+            fill = max(0, min(span - 1, MAX_SPAN - len(row), room[0]))
+            room[0] -= fill
+            row += [""] * fill
+    return row
+
+
+def _table(node: Node, page: _Page) -> None:
+    rows: list[list[str]] = []
+    captions: list[str] = []
+    room = [MAX_PADDING]
+    work = [iter(node.children)]
+    while work:
+        c = next(work[-1], None)
+        if c is None:
+            work.pop()
+        elif isinstance(c, str):
+            captions.append(_one_line(c))
         elif c.hidden():
             continue
         elif c.name == "tr":
-            row = []
-            for d in c.children:
-                if isinstance(d, str):
-                    if d.strip():
-                        row.append(_SPACES.sub(" ", html.unescape(d)).strip())
-                elif not d.hidden():
-                    row.append(_flat(d))
-                    span = d.attributes().get("colspan", "1") if d.attrs else "1"
-                    row += [""] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
-            out.append(row)
+            rows.append(_row(c, room))
         elif c.name in ("tbody", "thead", "tfoot", "colgroup"):
-            _rows(c, out, captions)
+            work.append(iter(c.children))
         else:
             captions.append(_flat(c))
-
-
-def _table(node: Node, page: _Page) -> None:
-    rows: list[list[str]] = []
-    captions: list[str] = []
-    _rows(node, rows, captions)
     rows = [r for r in rows if any(r)]
-    width = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
+    width = [0] * max(map(len, rows), default=0)
+    for r in rows:
+        for k, x in enumerate(r):
+            width[k] = max(width[k], len(x))
+    text = sum(len(x) for r in rows for x in r)
+    if sum(sum(width[: len(r)]) for r in rows) > 4 * text + MAX_PADDING:
+        width = [0] * len(width)
+        rows = [[x for x in r if x] for r in rows]
     lines = ["  ".join(x.ljust(width[k]) for k, x in enumerate(r)).rstrip() for r in rows]
     page.verbatim([c for c in captions if c] + lines)
 
 
-def _render(node: Node, page: _Page, numbers: list | None) -> None:
-    """Emits what is shown below ``node``; deep nesting is walked with a stack."""
+def _render(node: Node, page: _Page, numbers: list | None, flat: bool = False) -> None:
+    """Emits what is shown below ``node``; deep nesting is walked with a stack.
+
+    ``flat`` is for text that ends on one line: tables and preformatted text are
+    then walked like all else.
+    """
     work: list[tuple] = [("walk", node, iter(node.children), numbers)]
     while work:
         kind, n, it, nums = work[-1]
@@ -281,12 +350,12 @@ def _render(node: Node, page: _Page, numbers: list | None) -> None:
                 page.text(" " + a["value"] + " ")
         elif name == "textarea":
             page.text(html.unescape("".join(x for x in c.children if isinstance(x, str))))
-        elif name == "pre":
+        elif name == "pre" and not flat:
             page.block(1)
             body = "".join(_pre(c)).strip("\n")
             page.verbatim(body.split("\n") if body.strip() else [])
             page.block(1)
-        elif name == "table":
+        elif name == "table" and not flat:
             page.block(1)
             _table(c, page)
             page.block(1)
@@ -303,7 +372,7 @@ def _render(node: Node, page: _Page, numbers: list | None) -> None:
             else:
                 marker = "- "
             page.indents.append((page.indent, page.prefix))
-            page.indent, page.prefix = page.indent + " " * len(page.prefix), marker
+            page.indent, page.prefix = (page.indent + " " * len(page.prefix))[:MAX_INDENT], marker
             work.append(("item", c, iter(c.children), nums if nums is not None else [None]))
         else:
             if name in BLOCK:
@@ -314,13 +383,17 @@ def _render(node: Node, page: _Page, numbers: list | None) -> None:
 
 
 def _pre(node: Node):
-    for c in node.children:
-        if isinstance(c, str):
+    work = [iter(node.children)]
+    while work:
+        c = next(work[-1], None)
+        if c is None:
+            work.pop()
+        elif isinstance(c, str):
             yield html.unescape(c)
         elif c.name == "br":
             yield "\n"
         elif not c.hidden():
-            yield from _pre(c)
+            work.append(iter(c.children))
 
 
 def visible_text(markup: str | None) -> str | None:
@@ -332,20 +405,21 @@ def visible_text(markup: str | None) -> str | None:
     return "\n".join(page.result())
 
 
-def _extract(at: int):
+def _extract(at: int, into: str):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 text = [visible_text(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, "__text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, into])
 
     return run
 
 
 def extract(pages: DataFrame, html_col: str = "html", into: str = "text", keep_html: bool = False) -> DataFrame:
     """``pages`` with the visible text in ``into`` (replacing a column so named)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    done = pages.mapInArrow(_extract(pages.columns.index(html_col)), f"{schema}, `__text` string")
+    made = free_name(pages.columns, "visible")
+    schema = StructType([*pages.schema.fields, StructField(made, StringType())])
+    done = pages.mapInArrow(_extract(pages.columns.index(html_col), made), schema)
     keep = [F.col(f"`{c}`") for c in pages.columns if c != into and (keep_html or c != html_col)]
-    return done.select(*keep, F.col("__text").alias(into))
+    return done.select(*keep, F.col(made).alias(into))

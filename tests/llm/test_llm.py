@@ -122,6 +122,61 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
     assert got[2] is None and got[3] == "" and "x" in got[4]
     assert htmltext.visible_text("<div>" * 5000 + "deep") == "deep"
+    clash = spark.createDataFrame([(1, page, "a", "b")] * 2, "page_id int, html string, visible string, `text` string")
+    rows = htmltext.extract(clash).collect()
+    assert len(rows) == 2 and rows[0]["visible"] == "a" and rows[0]["text"].startswith("a\n\nb & c") and htmltext.extract(clash.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<table><tr><td>x" * 10_000, "<table><tbody>" * 10_000 + "x", "<pre>" * 10_000 + "z", "<pre>" + "<b>y" * 10_000, "<a " * 1_700_000, '<a ="' * 200_000,
+        "<" * 1_000_000, "<b>" * 100_000 + "</i>" * 100_000, "<p><table><tr><td>" + "<b>" * 50_000 + "<div>" * 50_000, "<ul><li>x" * 50_000,
+        "<table>" + "<tr><td colspan=1000>x" * 20_000, "<table><tr><td>" + "w" * 20_000 + "<td>b" + "<tr><td>x<td>y" * 4_000, "<!--" * 100_000,
+    ],
+)
+def test_html_hostile(markup):
+    import time
+
+    start = time.time()
+    out = htmltext.visible_text(markup)
+    assert time.time() - start < 3 * max(1.0, len(markup) / 1e6) and len(out) < 20 * len(markup)
+
+
+def test_html_words_equal_a_plain_parser():
+    """Brute force: the words of well-formed pages by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            self.words += [] if self.off else data.split()
+
+    rnd = np.random.default_rng(12)
+
+    def block(depth):
+        k = rnd.integers(0, 8) if depth else 0
+        inner = "".join(block(depth - 1) for _ in range(rnd.integers(1, 4))) if k in (1, 2, 3, 6) else ""
+        word = f"w{rnd.integers(1000)}"
+        return [
+            f"<p>{word} &amp; <b>{word}x</b>\n</p>", f"<div class='a>b'>{inner}</div>", f"<table><tr><td>{word}</td><td>{inner}</td></tr><tr><td>q</td></tr></table>",
+            f"<blockquote>{inner}</blockquote>", f"<script>if (a < b) {word}</script>", f"<!-- {word} -->", f"<section>{inner}</section>", f"<h2 title=\"x>y\">{word}</h2>",
+        ][k]
+
+    for _ in range(60):
+        page = f"<html><head><title>t</title></head><body>{''.join(block(4) for _ in range(6))}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        assert htmltext.visible_text(page).split() == plain.words
 
 
 def test_pii(spark):
@@ -139,15 +194,63 @@ def test_pii(spark):
     assert pii.luhn(re.sub(r"\D", "", next(v for v, k in new if k == "card")))
 
 
+def test_pii_hostile_and_odd_rows(spark):
+    import time
+
+    for text in ("a" * 3_000_000 + " @", "@a" * 500_000, "a@" + "b." * 500_000 + "1", "password" * 100_000, "token " * 200_000, "1 " * 500_000, "AB12" * 300_000):
+        start = time.time()
+        pii.find(text)
+        assert time.time() - start < max(1.0, len(text) / 1e6) * 2, text[:20]
+    assert [(a, b) for a, b, _ in pii.find("to x.y+z@mail.example.org. or q@b.com.123, a@b")] == [(3, 25), (30, 37)]
+    assert {t[a:b] for t in ["my name is Priya Raman here"] for a, b, _ in pii.find(t)} == {"Priya Raman"}
+    rows = [(1, "call +1 212 555 1234 now", "a", "b", 1), (2, None, "c", "d", 2), (2, None, "c", "d", 2), (3, "call +1 212 555 1234 now", "e", None, 3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, made string, n_found string, fixes int")
+    for few in (10_000, -1):
+        got = pii.pseudonymise(df, broadcast_fixes=few).collect()
+        assert [c for c in got[0].asDict()] == df.columns and len(got) == 4
+        assert len({r["text"] for r in got}) == 2 and {r["made"] for r in got} == {"a", "c", "e"}
+    assert pii.pseudonymise(df.where("false")).count() == 0
+    spark.conf.set(pii.KEY_SETTING, "one")
+    a = pii.pseudonymise(df).collect()
+    assert pii.pseudonymise(df).collect() == a
+    spark.conf.set(pii.KEY_SETTING, "two")
+    assert pii.pseudonymise(df).collect() != a
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pii_equals_plain_replacement(spark):
+    """Brute force: every entity by str.replace with its surrogate, over whole texts."""
+    rnd = np.random.default_rng(3)
+    names = ["Mr. Karl Brandt", "Anna Lopez", "Frau Schmidt", "Paul Weber"]
+    def entity():
+        k = rnd.integers(0, 5)
+        return [f"u{rnd.integers(50)}@mail{rnd.integers(9)}.org", f"10.0.{rnd.integers(9)}.{rnd.integers(200)}", f"{rnd.integers(100, 999)}-12-{rnd.integers(1000, 9999)}", names[rnd.integers(0, 4)], "".join(rnd.choice(list("0123456789abcdef"), 40))][k]
+    texts = [" ; ".join(f"word{rnd.integers(9)} {entity()}" for _ in range(6)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, key=b"k").collect()}
+    pairs = {}
+    for k, t in enumerate(texts):
+        old, new = [(t[a:b], c) for a, b, c in pii.find(t)], [got[k][a:b] for a, b, _ in pii.find(got[k])]
+        assert len(old) == len(new) == 6
+        plain = t
+        for i, ((v, c), w) in enumerate(zip(old, new)):
+            assert pairs.setdefault((c, v), w) == w and v != w
+            plain = plain.replace(v, f"\0{i}\0")
+        for i, w in enumerate(new):
+            plain = plain.replace(f"\0{i}\0", w)
+        assert plain == got[k]
+    assert len(set(pairs.values())) == len(pairs) and not {v for _, v in pairs} & set(pairs.values())
+
+
 def test_surrogates_are_permutations():
-    s = pii.Surrogates()
+    s = pii.Surrogates(b"key")
     assert len({s.of("ssn", f"{a:03d}-{b:02d}-0001") for a in range(40) for b in range(40)}) == 1600
     assert len({s.of("email", f"{a}{b}@x.org") for a in "abcdefghij" for b in "klmnopqrst"}) == 100
 
 
 def test_redrawn_surrogates_stay_distinct(spark):
     rows = [("ssn", f"000-00-{i:04d}", f"000-00-{(i + 1) % 50:04d}") for i in range(50)] + [("ssn", f"1{i}", "same") for i in range(3)]
-    fixes = pii.redrawn(spark.createDataFrame(rows, "kind string, value string, surrogate string")).collect()
+    fixes = pii.redrawn(spark.createDataFrame(rows, "kind string, value string, surrogate string"), b"key").collect()
     values = {v for _, v, _ in rows}
     assert len({f["surrogate"] for f in fixes}) == len(fixes) >= 50 and not values & {f["surrogate"] for f in fixes}
 
