@@ -11,10 +11,19 @@ entities distinct.
 The collision check runs over all distinct entities of the corpus: a surrogate
 that is itself an entity of the corpus (or the entity it stands for) is drawn
 again under another tweak, until it is new and no other entity's; those few
-decisions are joined back.
+decisions are joined back.  A value whose format has no free member left (REDRAWS
+rounds without a new one) becomes ``[type-number]``, which is not of its type.
+
+The key is no part of this package: it is the Spark setting KEY_SETTING, else
+32 random bytes drawn once per application.  Surrogates are the same in every run
+with one key, and without the key they can't be turned back.
+
+Names are found after a title or a cue ("my name is", "regards,") or if they
+begin with a listed first name; other names are not told from other words.
 
 Defined results: null text stays null; a text without entities is unchanged;
-repeated rows are treated alike; all columns of the input pass through.
+repeated rows are treated alike; all columns of the input pass through.  Every
+search takes time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -22,14 +31,19 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import stage
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .support import free_name, scratch_scope, stage
 
-KEY = b"tessera surrogate key"
+KEY_SETTING = "spark.tessera.pii.key"
+REDRAWS = 64
+_drawn: dict[str, bytes] = {}
 #: Up to this many redrawn surrogates travel with the tasks; beyond, they are joined.
 BROADCAST_FIXES = 10_000
 
@@ -60,7 +74,9 @@ for _k, _letters in enumerate(CLASSES):
     for _i, _c in enumerate(_letters.upper() if len(_letters.upper()) == len(_letters) else ""):
         _CLASS_OF.setdefault(_c, (_k, _i, True))
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+\-]*[A-Za-z0-9]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+#: A run of address characters before "@", entered at its beginning only, and the host's labels.
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]*+)@((?:[A-Za-z0-9\-]++\.)*+[A-Za-z0-9\-]++)")
+_TOP = re.compile(r"[A-Za-z]{2,}+")
 _NUMBERS = re.compile(
     r"(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
@@ -73,6 +89,9 @@ _SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-
 _NAME = re.compile(
     r"(?<!\w)(?P<title>%s)\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+){0,2})" % "|".join(sorted(TITLES, key=len, reverse=True))
 )
+_CUE = re.compile(
+    r"(?<!\w)(?:[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ss]igned,|[Rr]egards,|[Ss]incerely,|[Dd]ear) (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+){1,2})"
+)
 _LISTED = re.compile(r"(?<!\w)(?P<name>(?:%s) [^\W\d_a-zа-я][^\W\d_]+)" % "|".join(_GENDER))
 _DIGIT = re.compile(r"\d")
 _TITLED = re.compile("|".join(f"{t}\\b" for t in TITLES))
@@ -86,11 +105,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str):
+    """Spans of addresses: the host ends with its last label that begins with two letters."""
+    for m in _EMAIL.finditer(text):
+        if not m[1] or not m[1][-1].isalnum():
+            continue
+        end = m.end()
+        labels = m[2].split(".")
+        for label in reversed(labels[1:]):
+            top = _TOP.match(label)
+            if top:
+                yield m.start(), end - len(label) + top.end(), "email"
+                break
+            end -= len(label) + 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of entities, without overlaps, in order."""
     spans: list[tuple[int, int, str]] = []
     if "@" in text:
-        spans += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+        spans += _emails(text)
     if "=" in text or ":" in text:
         spans += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     if _DIGIT.search(text):
@@ -99,6 +133,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans.append((*m.span("name"), "name_" + TITLES[m["title"]]))
     for m in _LISTED.finditer(text):
         spans.append((*m.span("name"), "name_" + _GENDER[m["name"].split(" ")[0]]))
+    for m in _CUE.finditer(text):
+        if m["name"].split(" ")[0] not in TITLES:
+            spans.append((*m.span("name"), "name_" + _GENDER.get(m["name"].split(" ")[0], "u")))
     out, end = [], 0
     for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
         if s >= end:
@@ -110,8 +147,16 @@ def find(text: str) -> list[tuple[int, int, str]]:
 # -- keyed permutations -----------------------------------------------------
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of this application: configured, or drawn once."""
+    own = spark.conf.get(KEY_SETTING, None)
+    if own:
+        return own.encode()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 class Surrogates:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self._memo: dict[tuple, str] = {}
 
@@ -292,7 +337,7 @@ def _redraw(key: bytes, attempt: int):
     return run
 
 
-def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) of entities whose first surrogate collides."""
     known = stage(entities.select("kind", "value", "surrogate").distinct(), "entities")
     values = known.select(F.col("value").alias("taken")).distinct()
@@ -313,8 +358,8 @@ def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         good = stage(one.select("w.kind", "w.value", "surrogate"), "settled")
         settled.append(good)
         left = stage(open_.join(good, ["kind", "value"], "left_anti"), "open")
-        if attempt >= 64 and left.count() == open_.count():
-            # a class with fewer members than entities has no free surrogate: mark the value instead
+        if attempt >= REDRAWS and left.count() == open_.count():
+            # fewer members than entities, so none is free
             settled.append(left.withColumn("surrogate", F.concat(F.lit("["), "kind", F.lit("-"), F.hex(F.xxhash64("value")), F.lit("]"))))
             break
         open_ = left
@@ -324,7 +369,9 @@ def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     return out
 
 
-def _replace(key: bytes, fixes: dict[tuple[str, str], str], joined: bool, at: int):
+def _replace(key: bytes, fixes: dict[tuple[str, str], str], joined: bool, at: int, names: list[str]):
+    """Texts with surrogates and numbers of entities; if ``joined``, the last column has the row's fixes."""
+
     def run(batches):
         own = Surrogates(key)
         for batch in batches:
@@ -344,36 +391,44 @@ def _replace(key: bytes, fixes: dict[tuple[str, str], str], joined: bool, at: in
                 out.append(text)
                 count.append(len(found))
             cols = batch.columns[: batch.num_columns - joined]
-            names = batch.schema.names[: batch.num_columns - joined]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(count, pa.int64())], [*names, "__text", "__n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(count, pa.int64())], names)
 
     return run
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, count: str | None = None, broadcast_fixes: int = BROADCAST_FIXES) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None, count: str | None = None, broadcast_fixes: int = BROADCAST_FIXES) -> DataFrame:
     """``docs`` with entities in ``text`` replaced; ``count`` names an optional column."""
-    text_key = F.xxhash64(F.col(text), F.length(text))
-    found = stage(
-        docs.select(text_key.alias("text_key"), F.col(text).alias("text")).mapInArrow(
-            _entities(key), "text_key bigint, kind string, value string, surrogate string"
-        ),
-        "found",
-    )
-    fixes = stage(redrawn(found, key), "fixes")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", `__text` string, `__n` bigint"
-    at = docs.columns.index(text)
-    few = fixes.limit(broadcast_fixes + 1).count() <= broadcast_fixes
-    if few:
-        small = {(r["kind"], r["value"]): r["surrogate"] for r in fixes.collect()}
-        done = docs.mapInArrow(_replace(key, small, False, at), schema)
-    else:
-        mine = (
-            found.select("text_key", "kind", "value")
-            .join(fixes, ["kind", "value"])
-            .groupBy("text_key")
-            .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "value"), "surrogate"))).alias("__fixes"))
+    key = key or session_key(docs.sparkSession)
+    own = F.col(f"`{text}`")
+    text_key = F.xxhash64(own, F.length(own))
+    with scratch_scope(docs.sparkSession) as scratch:
+        found = stage(
+            docs.where(own.isNotNull())
+            .select(text_key.alias("text_key"), own.alias("text"))
+            .mapInArrow(_entities(key), "text_key bigint, kind string, value string, surrogate string"),
+            "found",
         )
-        keyed = docs.withColumn("__key", text_key).join(mine, F.col("__key") == F.col("text_key"), "left")
-        done = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "__fixes").mapInArrow(_replace(key, {}, True, at), schema)
-    out = [F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*out, *([F.col("__n").alias(count)] if count else []))
+        fixes = stage(redrawn(found, key), "fixes")
+        made, n, known, at_key = (free_name([*docs.columns, count or ""], x) for x in ("made", "n_found", "fixes", "text_key"))
+        schema = StructType([*docs.schema.fields, StructField(made, StringType()), StructField(n, LongType())])
+        at, names = docs.columns.index(text), [*docs.columns, made, n]
+        few = fixes.limit(broadcast_fixes + 1).count() <= broadcast_fixes
+        if few:
+            small = {(r["kind"], r["value"]): r["surrogate"] for r in fixes.collect()}
+            done = docs.mapInArrow(_replace(key, small, False, at, names), schema)
+        else:
+            # one row per text that needs a fix, however often the text occurs; null texts take no part
+            mine = (
+                found.select("text_key", "kind", "value")
+                .distinct()
+                .join(fixes, ["kind", "value"])
+                .groupBy("text_key")
+                .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "surrogate"))).alias(known))
+                .withColumnRenamed("text_key", at_key)
+            )
+            keyed = docs.where(own.isNotNull()).join(mine, text_key == F.col(at_key), "left").drop(at_key)
+            rest = docs.where(own.isNull()).withColumn(known, F.lit(None).cast("map<string,string>"))
+            done = keyed.unionByName(rest).mapInArrow(_replace(key, {}, True, at, names), schema)
+        scratch.release(done)
+    out = [F.col(made).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*out, *([F.col(n).alias(count)] if count else []))
