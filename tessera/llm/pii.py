@@ -75,7 +75,7 @@ for _k, _letters in enumerate(CLASSES):
         _CLASS_OF.setdefault(_c, (_k, _i, True))
 
 #: A run of address characters before "@", entered at its beginning only, and the host's labels.
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]*+)@((?:[A-Za-z0-9\-]++\.)*+[A-Za-z0-9\-]++)")
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]*+)@([A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+)")
 _TOP = re.compile(r"[A-Za-z]{2,}+")
 _NUMBERS = re.compile(
     r"(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
