@@ -1,21 +1,26 @@
 """Toxicity by weak supervision.
 
 1. Lexicon voters are mined from labelled rows: words and word beginnings that
-   toxic texts hold far more often than others.  Pattern voters look at form
-   (shouting, mentions per word, texts without any hit).
-2. A generative label model (class-conditional vote rates, fitted by
-   expectation-maximisation, started from the labelled rows) estimates how
-   accurate each voter is; correlations of votes within a class are estimated
-   too, and voters that repeat each other are weighted down.
-3. A linear classifier (logistic regression) is trained on the model's
-   posterior labels and scores every text.
-
-At most SAMPLE labelled rows are used, taken by hash of the id; that and the
-number of voters bound all that reaches the driver.  Scores use the text only.
+   toxic texts hold far more often than others, by a likelihood ratio over word
+   counts.  Near copies count once and of nested keys only the best is taken.
+   Pattern voters look at form: hits per word, several kinds, shouting, no hit.
+2. Every row of the corpus, labelled or not, is voted on.  Equal votes are one
+   pattern with a count, so what is learned from stays far smaller than the texts.
+3. A generative label model starts from the labelled rows and goes on by
+   expectation-maximisation over the patterns of all rows: class-conditional vote
+   rates (accuracies), and correlations of votes within a class, by which voters
+   that repeat each other are weighted down.
+4. A linear classifier (logistic regression) is trained on the model's posterior
+   labels of the sampled rows and scores every text.
+
+At most SAMPLE labelled rows are used, taken by hash of the id; that and VOTERS
+bound all that reaches the driver.  Sums over the corpus are of whole numbers, so
+they don't depend on the number of tasks.  Scores use the text only.
 
 Defined results: a null or empty text has no hits and is scored by the prior
 part of the classifier; null labels are left out; repeated rows score alike;
-without any labelled row of both classes every score is 0.
+rows that share an id share a label; without any labelled row of both classes
+every score is 0.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, stage
+from .support import arrow_text, doc_blocks, scratch_scope, stage
 
 SAMPLE = 12_000
-VOTERS = 400
+VOTERS = 128
 PREFIXES = range(3, 8)
-MIN_TOXIC = 5
+#: A key must be in this many toxic texts; a text counts a key this often at most; least likelihood ratio (2 ln).
+MIN_TOXIC, MOST, RATIO = 5, 3, 60.0
+#: Rounds of expectation-maximisation, and the unit of posterior weights.
+ROUNDS, UNIT = 3, 1 << 20
 _LETTER = ((tk._ALL >= 97) & (tk._ALL <= 122)) | (tk._ALL >= 128)
-FORMS = ("capitals", "hits", "kinds", "rate", "strong")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,8 +61,19 @@ def _doc_words(batch_text):
         yield i, j, block, s, e, d, caps / np.maximum(1, letters)
 
 
+def _signatures(batches):
+    """Least hash of a text's 5-word shingles: near copies mostly share it."""
+    for batch in batches:
+        for i, j, block, s, e, d, _ in _doc_words(batch.column(0)):
+            n = np.bincount(d, minlength=j - i) if len(d) else np.zeros(j - i, np.int64)
+            sig = np.array([x[0] if len(x) else 0 for x in tk.shingles(tk.hash_words(block, s, e), n)], np.uint64)
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig.view(np.int64))], ["text", "toxic", "sig"])
+
+
 def _mine(batches):
-    toxic, clean = Counter(), Counter()
+    """(key, toxic texts, words in toxic, in clean texts); the key "" has all words."""
+    found: dict[str, list[int]] = {"": [0, 0, 0]}
     for batch in batches:
         labels = batch.column(1).to_pylist()
         for i, j, block, s, e, d, _ in _doc_words(batch.column(0)):
@@ -63,31 +81,50 @@ def _mine(batches):
             cut = np.searchsorted(d, np.arange(j - i + 1)).tolist()
             s, e = s.tolist(), e.tolist()
             for k in range(j - i):
-                seen = set()
-                for w in {data[s[x] : e[x]] for x in range(cut[k], cut[k + 1])}:
+                toxic = bool(labels[i + k])
+                found[""][1 if toxic else 2] += cut[k + 1] - cut[k]
+                seen: Counter[str] = Counter()
+                for w, n in Counter(data[s[x] : e[x]] for x in range(cut[k], cut[k + 1])).items():
                     word = w.decode("utf-8", "ignore")
-                    seen.add("=" + word)
-                    seen.update("^" + word[:n] for n in PREFIXES if len(word) > n)
-                (toxic if labels[i + k] else clean).update(seen)
+                    seen["=" + word] += n
+                    for m in PREFIXES:
+                        if len(word) > m:
+                            seen["^" + word[:m]] += n
+                for key, n in seen.items():
+                    row = found.setdefault(key, [0, 0, 0])
+                    row[0] += toxic
+                    row[1 if toxic else 2] += min(n, MOST)
     # every count leaves the task, so that the sums over tasks are whole
-    keys = list(toxic | clean)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())],
-        ["key", "t", "c"],
-    )
-
-
-def mine_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Up to VOTERS voters of (text, toxic): "=word" or "^beginning"."""
-    found = train.mapInArrow(_mine, "key string, t bigint, c bigint").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    odds = F.log(((F.col("t") + 0.5) / n_toxic) / ((F.col("c") + 0.5) / n_clean))
-    best = (
-        found.where((F.col("t") >= MIN_TOXIC) & (F.col("t") * n_clean > 4 * F.col("c") * n_toxic))
-        .withColumn("gain", F.col("t") * odds)
-        .orderBy(F.desc("gain"), "key")
-        .limit(VOTERS)
-    )
-    return [r["key"] for r in best.select("key").collect()]
+    texts, t, c = zip(*found.values(), strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(texts, pa.int64()), pa.array(t, pa.int64()), pa.array(c, pa.int64())], ["key", "texts", "t", "c"])
+
+
+def mine_lexicon(train: DataFrame) -> list[str]:
+    """Up to VOTERS voters of (text, toxic): "=word" or "^beginning", best first."""
+    once = train.mapInArrow(_signatures, "text string, toxic double, sig bigint")
+    once = once.groupBy("sig").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("x")).select("x.text", "x.toxic")
+    sums = [F.sum(x).alias(x) for x in ("texts", "t", "c")]
+    with scratch_scope(train.sparkSession) as scratch:
+        found = stage(once.mapInArrow(_mine, "key string, texts bigint, t bigint, c bigint").groupBy("key").agg(*sums), "keys")
+        total = found.where("key = ''").first()
+        words = [float(max(1, x)) for x in ((total["t"], total["c"]) if total else (1, 1))]
+        expected = (F.col("t") + F.col("c")) * (words[0] / sum(words))
+        other = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (F.col("t") + F.col("c") - expected))).otherwise(0.0)
+        best = (
+            found.where((F.col("texts") >= MIN_TOXIC) & (F.col("key") != "") & (F.col("t") * words[1] > 4 * F.col("c") * words[0]))
+            .withColumn("gain", F.round(2 * (F.col("t") * F.log(F.col("t") / expected) + other), 6))
+            .where(F.col("gain") >= RATIO)
+            .orderBy(F.desc("gain"), F.desc(F.length("key")), "key")
+            .limit(VOTERS * 2 * len(PREFIXES))
+            .select("key")
+            .collect()
+        )
+        scratch.release()
+    out: list[str] = []
+    for key in (r["key"] for r in best):  # of "=idiot" and "^idio", one
+        if not any(key[1:].startswith(x[1:]) or x[1:].startswith(key[1:]) for x in out):
+            out.append(key)
+    return out[:VOTERS]
 
 
 class Votes:
@@ -128,65 +165,129 @@ class Votes:
         return out, form
 
 
+def _rates(hits: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total = hits.sum(axis=1)
+    return total, (hits > 0).sum(axis=1), total / np.maximum(20.0, form[:, 0])
+
+
 def features(hits: np.ndarray, form: np.ndarray) -> np.ndarray:
-    total, kinds = hits.sum(axis=1), (hits > 0).sum(axis=1)
-    forms = np.stack(
-        [form[:, 1], np.log1p(total), np.log1p(kinds), np.log1p(1000.0 * total / np.maximum(20.0, form[:, 0])), (kinds >= 3) * 1.0], axis=1
-    )
-    return np.concatenate([np.log1p(hits), forms], axis=1).astype(np.float64)
+    total, kinds, rate = _rates(hits, form)
+    forms = [form[:, 1], np.log1p(total), np.log1p(kinds), np.log1p(1000.0 * rate), rate > 0.01, rate > 0.03]
+    return np.concatenate([np.log1p(hits), np.stack(forms, axis=1)], axis=1).astype(np.float64)
 
 
 def votes(hits: np.ndarray, form: np.ndarray) -> np.ndarray:
     """+1 toxic, -1 clean, 0 abstains; one column per voter."""
-    total = hits.sum(axis=1)
-    rate = total / np.maximum(20.0, form[:, 0])
-    cols = [(hits > 0).astype(np.int8)]
-    cols.append(np.where(total == 0, -1, 0).astype(np.int8)[:, None])
-    cols.append(np.where(rate > 0.01, 1, np.where(rate < 0.002, -1, 0)).astype(np.int8)[:, None])
-    cols.append(np.where((hits > 0).sum(axis=1) >= 3, 1, 0).astype(np.int8)[:, None])
-    cols.append(np.where(form[:, 1] > 0.6, 1, 0).astype(np.int8)[:, None])
-    return np.concatenate(cols, axis=1)
+    total, kinds, rate = _rates(hits, form)
+    forms = [
+        np.where(total == 0, -1, 0),
+        np.where(rate > 0.01, 1, np.where(rate < 0.002, -1, 0)),
+        np.where(rate > 0.03, 1, 0),
+        np.where((kinds >= 3) & (rate > 0.005), 1, 0),
+        np.where(form[:, 1] > 0.6, 1, 0),
+    ]
+    return np.concatenate([hits >= 1, hits >= 2, np.stack(forms, axis=1)], axis=1).astype(np.int8)
+
+
+KINDS = (-1, 0, 1)
+
+
+def weighted_sums(v: np.ndarray, w: np.ndarray, pairs: bool) -> np.ndarray:
+    """Whole-number sums over rows with weights ``w`` (class x row), flat: weight of
+    each class; of each class, kind of vote and voter; and of each class and pair
+    of voters the sum of the product of their votes."""
+    parts = [w.sum(axis=1)] + [(x[:, None] * (v == k)).sum(axis=0) for x in w for k in KINDS]
+    if pairs:
+        wide = v.astype(np.int64)
+        parts += [((wide * x[:, None]).T @ wide).ravel() for x in w]
+    return np.concatenate(parts)
 
 
 class LabelModel:
     """Class-conditional vote rates with weights against correlated voters."""
 
-    def fit(self, v: np.ndarray, y: np.ndarray, rounds: int = 12) -> "LabelModel":
-        self.prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-        kinds = [(v == k).astype(np.float64) for k in (-1, 0, 1)]
-        q = y.astype(np.float64)
-        for r in range(rounds):
-            self.rates = np.stack(
-                [[(k * w[:, None]).sum(0) + 0.5 for k in kinds] for w in (1 - q, q)]
-            )  # class x vote x voter
-            self.rates /= self.rates.sum(axis=1, keepdims=True)
-            if r == 0:
-                self.weights = self._weights(v, q)
-            # labelled rows anchor the classes; the model may outvote a label
-            q = 0.5 * y + 0.5 * self.posterior(v)
-        self.accuracy = self.rates[1, 2] / np.maximum(1e-9, self.rates[0, 2] + self.rates[1, 2])
-        return self
-
-    def _weights(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """One over the number of voters that a voter's votes stand for."""
-        dependence = np.zeros((v.shape[1], v.shape[1]))
-        for w in (1 - q, q):
-            mean = (v * w[:, None]).sum(0) / max(w.sum(), 1e-9)
-            x = (v - mean) * np.sqrt(w)[:, None]
-            sd = np.sqrt((x * x).sum(0))
-            corr = (x.T @ x) / np.maximum(np.outer(sd, sd), 1e-9)
-            np.fill_diagonal(corr, 1.0)
-            dependence += (w.sum() / len(q)) * np.where(corr > 0.2, corr, 0.0)
-        self.correlations = dependence
-        return 1.0 / np.maximum(1.0, dependence.sum(axis=1))
+    def __init__(self, voters: int):
+        self.voters, self.weights = voters, np.ones(voters)
+
+    def update(self, sums: np.ndarray) -> None:
+        """New rates, and weights if the sums have pairs."""
+        n, v = np.maximum(sums[:2] / UNIT, 1e-9), self.voters
+        self.prior = float(np.clip(n[1] / n.sum(), 1e-3, 0.5))
+        counts = sums[2 : 2 + 6 * v].reshape(2, 3, v) / UNIT
+        self.rates = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+        self.accuracy = self.rates[1, 2] / (self.rates[0, 2] + self.rates[1, 2])
+        if len(sums) > 2 + 6 * v:
+            second = sums[2 + 6 * v :].reshape(2, v, v) / UNIT / n[:, None, None]
+            mean = (counts[:, 2] - counts[:, 0]) / n[:, None]
+            cov = second - mean[:, :, None] * mean[:, None, :]
+            sd = np.sqrt(np.maximum(np.einsum("cii->ci", cov), 0.0))
+            corr = cov / np.maximum(sd[:, :, None] * sd[:, None, :], 1e-9)
+            corr[:, range(v), range(v)] = 1.0
+            #: One over the number of voters that a voter's votes stand for.
+            self.correlations = np.where(corr > 0.2, corr, 0.0).mean(axis=0)
+            self.weights = 1.0 / np.maximum(1.0, self.correlations.sum(axis=1))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.rates[1]) - np.log(self.rates[0])
-        z = np.log(self.prior / (1 - self.prior))
-        z = z + sum((v == k) @ (ratio[i] * self.weights) for i, k in enumerate((-1, 0, 1)))
+        ratio = (np.log(self.rates[1]) - np.log(self.rates[0])) * self.weights
+        z = np.log(self.prior / (1 - self.prior)) + sum((v == k) @ ratio[i] for i, k in enumerate(KINDS))
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _class_weights(q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    toxic = np.rint(q * UNIT).astype(np.int64)
+    return np.stack([(UNIT - toxic) * n, toxic * n])
+
+
+def _patterns(lexicon: list[str]):
+    def run(batches):
+        counter, seen = Votes(lexicon), Counter()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                seen.update(r.tobytes() for r in votes(*counter.counts(batch.column(0).slice(i, 2048))))
+            if len(seen) > 1 << 16:
+                yield _pattern_batch(seen)
+                seen.clear()
+        yield _pattern_batch(seen)
+
+    return run
+
+
+def _pattern_batch(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+
+
+def _sum_rows(model: LabelModel, pairs: bool):
+    """(place, sum) of the weighted sums of a task's patterns."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                v = np.array([np.frombuffer(x, np.int8) for x in part.column(0).to_pylist()]).reshape(-1, model.voters)
+                n = part.column(1).to_numpy(zero_copy_only=False)
+                total = total + weighted_sums(v, _class_weights(model.posterior(v), n), pairs)
+        at = np.flatnonzero(total) if not np.isscalar(total) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at] if len(at) else at)], ["place", "x"])
+
+    return run
+
+
+def learn_from_votes(docs: DataFrame, lexicon: list[str], model: LabelModel, rounds: int = ROUNDS) -> None:
+    """Expectation-maximisation of ``model`` over the votes on all rows of (text)."""
+    with scratch_scope(docs.sparkSession) as scratch:
+        found = docs.select("text").mapInArrow(_patterns(lexicon), "pattern binary, n bigint")
+        found = stage(found.groupBy("pattern").agg(F.sum("n").alias("n")), "patterns")
+        for r in range(rounds):
+            rows = found.mapInArrow(_sum_rows(model, r == 0), "place int, x bigint").groupBy("place").agg(F.sum("x").alias("x")).collect()
+            sums = np.zeros(2 + 6 * model.voters + (2 * model.voters**2 if r == 0 else 0), np.int64)  # a row per place at most
+            for x in rows:
+                sums[x["place"]] = x["x"]
+            if sums[:2].any():
+                model.update(sums)
+        scratch.release()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent on soft labels."""
     mean, sd = x.mean(0), x.std(0) + 1e-3
@@ -215,25 +316,33 @@ def _vote_rows(lexicon: list[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The model from labelled rows that are not held out; None without both classes."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """The model of (doc_id, text) from labelled rows that are not held out and
+    from the votes on all rows; None without both classes."""
+    docs = docs.select(F.col("doc_id").alias("id"), "text")
+    labels = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
+    usable = usable.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     # The sample is the smallest ids by hash: bounded, the same in every run.
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("double").alias("toxic"))
-    texts = stage(
-        docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic"), "labelled"
-    )  # sample bounds the broadcast
-    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    if not n.get(0.0) or not n.get(1.0):
-        return None
-    lexicon = mine_lexicon(texts, n[1.0], n[0.0])
-    rows = texts.mapInArrow(_vote_rows(lexicon), "y double, hits binary, words double, capitals double").collect()
-    y = np.array([r["y"] for r in rows])
-    hits = np.array([np.frombuffer(r["hits"], np.uint16) for r in rows], np.float32).reshape(len(rows), len(lexicon))
-    form = np.array([(r["words"], r["capitals"]) for r in rows])
-    model = LabelModel().fit(votes(hits, form), y)
-    w, b = logistic(features(hits, form), model.posterior(votes(hits, form)))
+    chosen = usable.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    with scratch_scope(docs.sparkSession) as scratch:
+        texts = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "toxic")  # sample bounds the broadcast
+        texts = stage(texts, "labelled")
+        n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+        if not n.get(0.0) or not n.get(1.0):
+            return None
+        lexicon = mine_lexicon(texts)
+        rows = texts.mapInArrow(_vote_rows(lexicon), "y double, hits binary, words double, capitals double").collect()
+        y = np.array([r["y"] for r in rows])
+        hits = np.array([np.frombuffer(r["hits"], np.uint16) for r in rows], np.float32).reshape(len(rows), len(lexicon))
+        form = np.array([(r["words"], r["capitals"]) for r in rows])
+        order = np.lexsort((y, form[:, 1], form[:, 0]))  # whatever the tasks' order
+        y, hits, form = y[order], hits[order], form[order]
+        v = votes(hits, form)
+        model = LabelModel(v.shape[1])
+        model.update(weighted_sums(v, _class_weights(y, np.ones(len(y), np.int64)), True))
+        learn_from_votes(docs, lexicon, model)
+        w, b = logistic(features(hits, form), model.posterior(v))
+        scratch.release()
     return {"lexicon": lexicon, "weights": w, "bias": b, "label_model": model}
 
 

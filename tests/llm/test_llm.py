@@ -426,11 +426,12 @@ def test_toxicity(spark):
                 ws[p] = str(rnd.choice(["stinker", "nitwit", "bozo"]))
         rows.append((i, " ".join(ws)))
         labels.append((i, int(bad)))
-    df = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id bigint, text string")
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows + [(900, None), (901, ""), (901, ""), (903, "stinker " * 200_000)]], "doc_id bigint, text string, toxic string, id string, label_id int")
     lab = spark.createDataFrame(labels + [(902, None)], "doc_id bigint, toxic int")
     model = toxicity.train(df, lab)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
-    assert all((got[i] >= 0.5) == bool(y) for i, y in labels) and got[900] == got[901] < 0.5
+    assert all((got[i] >= 0.5) == bool(y) for i, y in labels) and got[900] == got[901] < 0.5 <= got[903]
+    assert toxicity.score(df.where("false"), model).count() == 0 and toxicity.train(df.where("false"), lab) is None
     held = df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
     assert toxicity.train(df, lab.where("toxic = 0")) is None
@@ -438,11 +439,37 @@ def test_toxicity(spark):
 
 
 def test_lexicon_at_any_number_of_tasks(spark):
-    rows = [(f"bozo plain filler{i:03d}", 1.0) for i in range(6)] + [(f"plain word{i:03d}", 0.0) for i in range(40)]
+    rnd = np.random.default_rng(2)
+    plain = lambda: " ".join(f"plain w{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in rnd.integers(0, 676, 30))
+    rows = [(f"bozo {plain()} bozo {plain()} bozos", 1.0) for _ in range(30)] + [(plain(), 0.0) for _ in range(120)]
+    rows += [(f"copied nonsense {'x' * 5} of one page " * 3, 1.0)] * 9
     for n in (1, len(rows)):
         df = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string, toxic double")
-        mined = toxicity.mine_lexicon(df, 6, 40)
-        assert "=bozo" in mined and not any("plain".startswith(k[1:]) for k in mined), n
+        assert toxicity.mine_lexicon(df) == ["^bozo"] or toxicity.mine_lexicon(df)[0][1:].startswith("boz"), n
+        assert not any(k[1:].startswith(("pla", "cop", "non")) for k in toxicity.mine_lexicon(df)), n
+
+
+def test_label_model_learns_from_votes(spark):
+    """Brute force: expectation-maximisation row by row equals that over patterns at any number of tasks."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, " ".join(["bozo"] * int(rnd.integers(0, 3) * (i % 5 == 0)) + ["nitwit"] * int(i % 5 == 0 and i % 3 > 0) + ["a plain word here"] * 12)) for i in range(300)]
+    lexicon = ["=bozo", "=nitwit"]
+    counter = toxicity.Votes(lexicon)
+    import pyarrow as pa
+
+    v = toxicity.votes(*counter.counts(pa.array([t for _, t in rows])))
+    def started():
+        m = toxicity.LabelModel(v.shape[1])
+        m.update(toxicity.weighted_sums(v[:60], toxicity._class_weights(np.array([i % 5 == 0 for i in range(60)], float), np.ones(60, np.int64)), True))
+        return m
+    plain = started()
+    for r in range(3):
+        plain.update(toxicity.weighted_sums(v, toxicity._class_weights(plain.posterior(v), np.ones(len(v), np.int64)), r == 0))
+    for n in (1, 7):
+        model = started()
+        toxicity.learn_from_votes(spark.createDataFrame(rows, "doc_id int, text string").repartition(n), lexicon, model, 3)
+        assert np.array_equal(model.rates, plain.rates) and np.array_equal(model.weights, plain.weights) and model.prior == plain.prior
+    assert (plain.accuracy[:2] > 0.9).all()
 
 
 def thue_morse(n):
