@@ -6,16 +6,19 @@ control byte that serves four ids.  Control bytes are kept apart from data
 bytes, so a reader finds all lengths by one numpy table lookup and gathers all
 values without a loop over ids.
 
-A shard file: magic and version, number of documents, ids and data bytes, the
-table of document ids and lengths, then control bytes, then data bytes.  The
-rank table (one entry per vocabulary id) is written once beside the shards.
+A shard file: magic and version, then blocks of documents, then an end mark with
+the numbers of documents and ids.  A block: numbers of documents, of control and
+of data bytes, the documents' ids and lengths, control bytes, data bytes.  Blocks
+are written and read one at a time, so a shard's size is no matter of memory; a
+file without its end mark is refused.  The rank table (one entry per vocabulary
+id) is written once beside the shards.
 
 Files are written through ``pyarrow.fs`` under a name of the task attempt and
 then renamed, so a lost executor or a second attempt leaves no partial shard.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-written once each, ties in document id in order of their ids' crc32; null ids come
-first; other columns are not read.
+written once each, ties in document id in order of their ids' crc32, then of their
+place in the input; null ids come first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import doc_blocks, scratch_path, stage
+from .support import doc_blocks, filesystem, scratch_path, stage
 from .tokens import encoder, with_end
 
-MAGIC = b"TSRTOK01"
-_HEAD = "<8sQQQ"
+MAGIC = b"TSRTOK02"
+_HEAD = "<QQQ"
+#: Data bytes of a shard, about.
+SHARD = 64 << 20
 NULL_ID = -(1 << 63)
 #: Bytes of a control byte's four values, and where each begins.
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -84,12 +90,6 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, lens: np.ndarray) -> np.
     return value & _MASKS[sizes - 1]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def _tokenize(tokenizer: str, end: int):
     def run(batches):
         enc = encoder(tokenizer)
@@ -127,36 +127,35 @@ def _write_shards(folder: str, rank_of: np.ndarray, dtype: str):
     """Writes the documents of each task, in order, as one shard."""
 
     def run(batches):
-        docs, lens, sizes, control, data = [], [], [], [], []
-        for batch in batches:
-            docs += batch.column(0).to_pylist()
-            at, ids = _flat_ids(batch.column(1), dtype)
-            n = np.diff(at)
-            for i, j in doc_blocks(at, _BLOCK):
-                c, d, size = encode_ranks(rank_of[ids[at[i] : at[j]]], n[i:j])
-                lens.append(n[i:j])
-                sizes.append(size)
-                control.append(c)
-                data.append(d)
-        if not docs:
+        first = next(batches, None)
+        if first is None:
             return
         ctx = TaskContext.get()
-        target, path = _filesystem(folder)
+        target, path = filesystem(folder)
         name = f"shard-{ctx.partitionId():08d}.bin"
         part = f"{path}/.{name}.{ctx.taskAttemptId()}.{uuid.uuid4().hex}"
-        n, size = np.concatenate(lens), np.concatenate(sizes)
-        count = int(n.sum())
+        n_docs = count = 0
         with target.open_output_stream(part) as out:
-            out.write(struct.pack(_HEAD, MAGIC, len(docs), count, int(size.sum())))
-            out.write(np.array([NULL_ID if d is None else d for d in docs], "<i8").tobytes())
-            out.write(n.astype("<u8").tobytes())
-            out.write((-(-n // 4)).astype("<u8").tobytes())
-            out.write(size.astype("<u8").tobytes())
-            for x in control + data:
-                out.write(x.tobytes())
+            out.write(MAGIC)
+            for batch in chain([first], batches):
+                docs = batch.column(0).to_pylist()
+                at, ids = _flat_ids(batch.column(1), dtype)
+                n = np.diff(at)
+                for i, j in doc_blocks(at, _BLOCK):
+                    control, data, _ = encode_ranks(rank_of[ids[at[i] : at[j]]], n[i:j])
+                    out.write(struct.pack(_HEAD, j - i, len(control), len(data)))
+                    out.write(np.array([NULL_ID if d is None else d for d in docs[i:j]], "<i8").tobytes())
+                    out.write(n[i:j].astype("<u8").tobytes())
+                    out.write(control.tobytes())
+                    out.write(data.tobytes())
+                n_docs, count = n_docs + len(docs), count + int(at[-1])
+            out.write(struct.pack(_HEAD, 0, n_docs, count))
+        if not n_docs:
+            target.delete_file(part)
+            return
         target.move(part, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ctx.partitionId()], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(docs)], pa.int64()), pa.array([count], pa.int64())],
+            [pa.array([ctx.partitionId()], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([count], pa.int64())],
             ["shard", "path", "n_docs", "n_tokens"],
         )
 
@@ -169,14 +168,15 @@ def write_tokens(
     """Write ``docs`` as shards in ascending id order; returns the manifest
     (shard, path, n_docs, n_tokens), which is also written to ``folder``.
 
-    ``shards`` defaults to the session's shuffle partitions; each shard is held
-    by one task, so choose it for shards of some tens of megabytes.
+    ``shards`` defaults to the session's shuffle partitions, or to more if shards
+    would be larger than SHARD bytes.
     """
     spark: SparkSession = docs.sparkSession
     enc = encoder(tokenizer)
     dtype = enc.dtype.str
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ids = stage(src.mapInArrow(_tokenize(tokenizer, end), "doc_id bigint, tie bigint, ids binary"), "ids")
+    ids = src.mapInArrow(_tokenize(tokenizer, end), "doc_id bigint, tie bigint, ids binary")
+    ids = stage(ids.withColumn("row", F.monotonically_increasing_id()), "ids")
     # One row per vocabulary id.
     freq = ids.select("ids").mapInArrow(_count(enc.vocab, dtype), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(enc.vocab, np.int64)
@@ -185,13 +185,14 @@ def write_tokens(
     by_rank = np.lexsort((np.arange(enc.vocab), -n)).astype(np.uint32)
     rank_of = np.empty(enc.vocab, np.uint32)
     rank_of[by_rank] = np.arange(enc.vocab, dtype=np.uint32)
-    target, path = _filesystem(folder)
+    target, path = filesystem(folder)
     target.create_dir(path, recursive=True)
     with target.open_output_stream(f"{path}/ranks.bin") as out:
         out.write(by_rank.astype("<u4").tobytes())
     if not shards:
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+        size = int((n * (1 + (rank_of > 0xFF) + (rank_of > 0xFFFF))).sum())
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    ordered = ids.repartitionByRange(shards, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     manifest = ordered.select("doc_id", "ids").mapInArrow(
         _write_shards(folder, rank_of, dtype), "shard bigint, path string, n_docs bigint, n_tokens bigint"
     )
@@ -199,42 +200,47 @@ def write_tokens(
 
 
 def read_shard(uri: str, by_rank: np.ndarray):
-    """Documents of a shard as (doc_id, ids), decoded in blocks of documents."""
-    target, path = _filesystem(uri)
-    with target.open_input_file(path) as f:
-        magic, n_docs, _, _ = struct.unpack(_HEAD, f.read(struct.calcsize(_HEAD)))
-        if magic != MAGIC:
+    """Documents of a shard as (doc_id, ids), block by block."""
+    target, path = filesystem(uri)
+    with target.open_input_stream(path) as f:
+        if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"not a token shard: {uri}")
-        head = np.frombuffer(f.read(8 * n_docs), "<i8").tolist()
-        lens, c_len, d_len = (np.frombuffer(f.read(8 * n_docs), "<u8").astype(np.int64) for _ in range(3))
-        base = struct.calcsize(_HEAD) + 32 * n_docs
-        c_at = base + np.cumsum(c_len) - c_len
-        d_at = base + c_len.sum() + np.cumsum(d_len) - d_len
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        for i, j in doc_blocks(upto, _BLOCK):
-            f.seek(int(c_at[i]))
-            control = np.frombuffer(f.read(int(c_len[i:j].sum())), np.uint8)
-            f.seek(int(d_at[i]))
-            data = np.frombuffer(f.read(int(d_len[i:j].sum())), np.uint8)
-            ids = by_rank[decode_ranks(control, data, lens[i:j])]
-            at = (upto[i : j + 1] - upto[i]).tolist()
-            for k in range(i, j):
-                yield (None if head[k] == NULL_ID else head[k]), ids[at[k - i] : at[k - i + 1]]
+        n_docs = count = 0
+        while True:
+            head = f.read(struct.calcsize(_HEAD))
+            if len(head) < struct.calcsize(_HEAD):
+                raise ValueError(f"a token shard without its end: {uri}")
+            n, c_len, d_len = struct.unpack(_HEAD, head)
+            if not n:
+                if (n_docs, count) != (c_len, d_len):
+                    raise ValueError(f"a token shard that lost blocks: {uri}")
+                return
+            docs = np.frombuffer(f.read(8 * n), "<i8").tolist()
+            lens = np.frombuffer(f.read(8 * n), "<u8").astype(np.int64)
+            control, data = np.frombuffer(f.read(c_len), np.uint8), np.frombuffer(f.read(d_len), np.uint8)
+            ids = by_rank[decode_ranks(control, data, lens)]
+            at = np.concatenate([[0], np.cumsum(lens)]).tolist()
+            for k in range(n):
+                yield (None if docs[k] == NULL_ID else docs[k]), ids[at[k] : at[k + 1]]
+            n_docs, count = n_docs + n, count + at[-1]
+
+
+def _digests(uri: str, by_rank: np.ndarray, start: int):
+    for doc, ids in read_shard(uri, by_rank):
+        yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+        start += len(ids)
 
 
 def _read(folder: str):
     def run(batches):
-        target, path = _filesystem(folder)
+        target, path = filesystem(folder)
         with target.open_input_stream(f"{path}/ranks.bin") as f:
             by_rank = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for doc, ids in read_shard(uri, by_rank):
-                    rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for rows in batched(_digests(uri, by_rank, start), 4096):
+                    cols = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 

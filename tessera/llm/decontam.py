@@ -18,16 +18,19 @@
    subsequence must cover most of the item, or a good part of it if it covers
    the item's answer, its last sentence.
 
-Items are taken in blocks, each against all windows, so neither the benchmark
-nor the corpus has to fit anywhere.
+Items are prepared in blocks of BLOCK and written to the shared folder; a task
+takes some SPAN bytes of its words at a time against one block after another, so
+neither the benchmark nor the corpus has to fit anywhere and the corpus is read
+once for all blocks.
 
 Defined results: null and empty texts and items match nothing; items under
 MIN_WORDS words must be found in full; repeated rows are treated alike; a null
-id is kept; extra columns are ignored or, in ``drop_leaks``, passed through.
+id is no bar; extra columns are ignored or, in ``drop_leaks``, passed through.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, scratch_scope, stage, without_ids
+from .support import arrow_text, doc_blocks, filesystem, scratch_path, scratch_scope, stage, without_keys
 
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
@@ -47,6 +50,8 @@ RUN = 3
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 8
 BLOCK = 2048
+#: Bytes of hashed words that are held against all blocks of items.
+SPAN = 32 << 20
 
 
 def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,71 +269,97 @@ def _run_hits(table: list[tuple], gates: list[np.ndarray], h: np.ndarray, within
     return np.unique(np.concatenate(hits), axis=0).tolist()
 
 
-def _search(items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: float):
-    zero = np.zeros((1, RANK), np.float32)
-    runs = run_table(items)
+def _spans(batches):
+    """Batches put together to some SPAN bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SPAN:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _search(paths: list[str], vectors: np.ndarray, cosine: float):
+    """Leaks of the items in the files ``paths``."""
 
     def run(batches):
-        gates = []
-        for _, keys, *_ in runs:
-            gates.append(np.zeros(1 << 20, bool))
-            gates[-1][keys >> np.uint64(44)] = True
-        table = np.concatenate([vectors, zero])
-        item_t = np.ascontiguousarray(item_vec.T)
-        for batch in batches:
-            found: list[tuple] = []
-            for i0, n, h in _word_blocks(batch.column(1), 1 << 17):
-                steps = -(-n // STEP)
-                if not steps.sum():
-                    continue
-                start = np.cumsum(n) - n
-                slot0 = (np.cumsum(steps) - steps) * STEP
-                idx = np.full(steps.sum() * STEP, TERMS, np.int64)
-                idx[np.arange(len(h)) + np.repeat(slot0 - start, n)] = h >> np.uint32(16)
-                sums = np.empty((len(idx) // STEP, RANK), np.float32)
-                for a in range(0, len(sums), 512):
-                    part = table[idx[a * STEP : (a + 512) * STEP]]
-                    part.reshape(-1, STEP, RANK).sum(axis=1, out=sums[a : a + 512])
-                doc = np.repeat(np.arange(len(n)), steps)
-                pair = sums.copy()
-                same = np.flatnonzero(doc[:-1] == doc[1:])
-                pair[same] += sums[same + 1]
-                cos = _unit(pair) @ item_t
-                first_step = np.cumsum(steps) - steps
-                win, item = np.nonzero(cos >= cosine)
-                best: dict[tuple[int, int], tuple] = {}
-                for w, k in zip(win.tolist(), item.tolist(), strict=True):
-                    d = int(doc[w])
-                    if (d, k) in best and best[d, k][3]:
-                        continue
-                    ident, words, answer_at = items[k]
-                    at, m = (w - int(first_step[d])) * STEP, len(words)
-                    lo, hi = max(0, at - m), min(int(n[d]), at + 2 * STEP + m)
-                    region = h[start[d] + lo : start[d] + hi].tolist()
-                    whole, part, leak = judge_match(words, answer_at, region)
-                    if leak:
-                        best[d, k] = (float(cos[w, k]), whole, part, True)
-                within = np.arange(len(h)) - np.repeat(start, n)
-                for d, at, k in _run_hits(runs, gates, h, within, np.repeat(n, n) - within, np.repeat(np.arange(len(n)), n)):
-                    if (d, k) in best:
-                        continue
-                    _, words, answer_at = items[k]
-                    m, at0 = len(words), max(0, at)
-                    region = h[start[d] + max(0, at - m // 4) : start[d] + min(int(n[d]), at + m + m // 4)].tolist()
-                    whole, part, leak = judge_match(words, answer_at, region)
-                    if leak:
-                        best[d, k] = (float(cos[first_step[d] + at0 // STEP, k]), whole, part, True)
-                found += [(i0 + d, items[k][0], *v[:3]) for (d, k), v in best.items()]
-            if found:
-                row, ident, *rest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(ident, pa.int64()), *(pa.array(c, pa.float64()) for c in rest)],
-                    ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio"],
-                )
+        known: dict[str, tuple] = {}
+        for held in _spans(batches):
+            for path in paths:
+                if path not in known:
+                    known.clear()  # one block at a time
+                    store, name = filesystem(path)
+                    with store.open_input_stream(name) as f:
+                        known[path] = pickle.loads(f.read())
+                yield from _search_block(held, *known[path], vectors, cosine)
 
     return run
 
 
+def _search_block(batches: list[pa.RecordBatch], items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: float):
+    runs = run_table(items)
+    zero = np.zeros((1, RANK), np.float32)
+    gates = []
+    for _, keys, *_ in runs:
+        gates.append(np.zeros(1 << 20, bool))
+        gates[-1][keys >> np.uint64(44)] = True
+    table = np.concatenate([vectors, zero])
+    item_t = np.ascontiguousarray(item_vec.T)
+    for batch in batches:
+        found: list[tuple] = []
+        for i0, n, h in _word_blocks(batch.column(1), 1 << 17):
+            steps = -(-n // STEP)
+            if not steps.sum():
+                continue
+            start = np.cumsum(n) - n
+            slot0 = (np.cumsum(steps) - steps) * STEP
+            idx = np.full(steps.sum() * STEP, TERMS, np.int64)
+            idx[np.arange(len(h)) + np.repeat(slot0 - start, n)] = h >> np.uint32(16)
+            sums = np.empty((len(idx) // STEP, RANK), np.float32)
+            for a in range(0, len(sums), 512):
+                part = table[idx[a * STEP : (a + 512) * STEP]]
+                part.reshape(-1, STEP, RANK).sum(axis=1, out=sums[a : a + 512])
+            doc = np.repeat(np.arange(len(n)), steps)
+            pair = sums.copy()
+            same = np.flatnonzero(doc[:-1] == doc[1:])
+            pair[same] += sums[same + 1]
+            cos = _unit(pair) @ item_t
+            first_step = np.cumsum(steps) - steps
+            win, item = np.nonzero(cos >= cosine)
+            best: dict[tuple[int, int], tuple] = {}
+            for w, k in zip(win.tolist(), item.tolist(), strict=True):
+                d = int(doc[w])
+                if (d, k) in best and best[d, k][3]:
+                    continue
+                ident, words, answer_at = items[k]
+                at, m = (w - int(first_step[d])) * STEP, len(words)
+                lo, hi = max(0, at - m), min(int(n[d]), at + 2 * STEP + m)
+                region = h[start[d] + lo : start[d] + hi].tolist()
+                whole, part, leak = judge_match(words, answer_at, region)
+                if leak:
+                    best[d, k] = (float(cos[w, k]), whole, part, True)
+            within = np.arange(len(h)) - np.repeat(start, n)
+            for d, at, k in _run_hits(runs, gates, h, within, np.repeat(n, n) - within, np.repeat(np.arange(len(n)), n)):
+                if (d, k) in best:
+                    continue
+                _, words, answer_at = items[k]
+                m, at0 = len(words), max(0, at)
+                region = h[start[d] + max(0, at - m // 4) : start[d] + min(int(n[d]), at + m + m // 4)].tolist()
+                whole, part, leak = judge_match(words, answer_at, region)
+                if leak:
+                    best[d, k] = (float(cos[first_step[d] + at0 // STEP, k]), whole, part, True)
+            found += [(i0 + d, items[k][0], *v[:3]) for (d, k), v in best.items()]
+        if found:
+            row, ident, *rest = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(ident, pa.int64()), *(pa.array(c, pa.float64()) for c in rest)],
+                ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio"],
+            )
+
+
 _FOUND = "doc_id bigint, item_id bigint, cosine double, lcs_ratio double, answer_ratio double"
 
 
@@ -343,33 +374,37 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_ratio, answer_ratio) of confirmed leaks."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     words = stage(src.mapInArrow(_hash_texts, "doc_id bigint, words binary"), "words")
     _, vectors = fit(words)
     items = (
-        benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("item_text"))
+        benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text"))
         .where("item_text IS NOT NULL")
         .distinct()
     )
-    n = items.count()
-    blocks = -(-n // BLOCK)
-    found = []
-    for b in range(blocks):
+    paths = []
+    blocks = -(-items.count() // BLOCK)
+    for b in range(blocks):  # each collects a block, about
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b)
-        ready, vec = prepare_items([(r["item_id"], r["item_text"]) for r in mine.collect()], vectors)
-        if ready:
-            found.append(words.mapInArrow(_search(ready, vec, vectors, cosine), _FOUND))
-    if not found:
-        return spark.createDataFrame([], _FOUND)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+        rows = sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["item_text"]))
+        ready = prepare_items([(r["item_id"], r["item_text"]) for r in rows], vectors)
+        if ready[0]:
+            paths.append(scratch_path(spark, "items.pickle"))
+            store, name = filesystem(paths[-1])
+            with store.open_output_stream(name) as f:
+                f.write(pickle.dumps(ready))
+    out = words.mapInArrow(_search(paths, vectors, cosine), _FOUND) if paths else spark.createDataFrame([], _FOUND)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents in which an item was found."""
+    """``docs`` without the rows in which an item was found.
+
+    Rows go by a hash of id and text, so a null or repeated id does no harm.
+    """
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
     with scratch_scope(docs.sparkSession) as scratch:
-        gone = stage(find_leaks(docs, benchmark, id_col, text).select("doc_id").distinct(), "leaks")
+        keyed = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+        gone = stage(find_leaks(keyed, benchmark, "key", "text").select("doc_id").distinct(), "leaks")
         scratch.release(gone)
-    return without_ids(docs, id_col, gone)
+    return without_keys(docs, key, gone)

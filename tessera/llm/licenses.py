@@ -61,7 +61,7 @@ MAX_STRETCH = 1.5
 K = 2
 
 
-def _templates() -> list[tuple]:
+def templates() -> list[tuple]:
     """(tid, label, kind, grams, tpos, gram) rows: a fixed table of a few hundred rows."""
     rows, tid = [], 0
     for kind, source in (
@@ -145,19 +145,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """Per row of ``docs``: id, n_words, and ``spans``, an array of verified
     (label, kind, first_word, last_word, coverage)."""
     spark: SparkSession = docs.sparkSession
-    rows = _templates()
+    rows = templates()
     hashes = _known_hashes([r[-1] for r in rows])
-    templates = spark.createDataFrame(
+    table = spark.createDataFrame(
         [(*r, int(h)) for r, h in zip(rows, hashes.view(np.int64), strict=True)],
         "tid int, label string, kind string, grams int, tpos int, tgram string, th bigint",
     )
     src = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")
+        F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
     found = src.mapInArrow(_scan(hashes), "rid bigint, doc_id bigint, n_words bigint, pos bigint, h bigint, gram string")
     # The template table is a constant of this module, so it is always small.
     votes = (
-        found.join(F.broadcast(templates), (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")), "left")
+        found.join(F.broadcast(table), (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")), "left")
         .where(F.col("tid").isNotNull() | F.col("n_words").isNotNull())
         .repartition("rid")  # one row's votes meet once; all that follows stays there
     )

@@ -11,7 +11,7 @@ content look like boilerplate.
 Defined results: a null text stays null and has no lines; an empty text stays
 empty; lines without a word are never boilerplate and stay; a null host is a
 host of its own; repeated rows are treated alike; all columns of the input are
-kept, whatever their names.
+kept, whatever their names.  Lines are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import stage
+from .support import free_name, scratch_scope, stage
 
 RATIO = 0.1
 MIN_PAGES = 5
-#: Up to this many boilerplate lines in all (16 bytes each), the per-host
-#: table is broadcast; beyond, hosts are salted and shuffled.
-BROADCAST_LINES = 500_000
-SALTS = 64
+#: Up to this many boilerplate lines in all (16 bytes each) and on one host, hosts' lists
+#: are broadcast; beyond, each page gets its own lines by a join of (host, line).
+BROADCAST_LINES, HOST_LINES = 500_000, 4096
 
 
 def host_of_url(url: Column) -> Column:
@@ -48,6 +47,16 @@ def _hashed_lines(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, _key))
 
 
+def _pages(docs: DataFrame, host: Column, text: str) -> DataFrame:
+    """(host, page, lines): a page's hash and the hashes of its lines."""
+    own = F.col(f"`{text}`")
+    return docs.where(own.isNotNull()).select(host.alias("host"), _page(own).alias("page"), _hashed_lines(own).alias("lines"))
+
+
+def _page(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
 def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, pages, host_pages) of lines over ``ratio``.
 
@@ -55,9 +64,7 @@ def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float
     (host, line): both groupings combine on the map side, so a host or a line
     with a third of all rows arrives as a few partial counts.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(
-        host.alias("host"), F.xxhash64(text, F.length(text)).alias("page"), _hashed_lines(F.col(text)).alias("lines")
-    )
+    rows = _pages(docs, host, text)
     pages = rows.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_pages"))
     seen = (
         rows.select("host", "page", F.explode("lines").alias("line_hash"))
@@ -74,6 +81,14 @@ def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float
     )
 
 
+def _lines_of_pages(docs: DataFrame, host: Column, text: str, bad: DataFrame, small: bool) -> DataFrame:
+    """(host, page, bad): the boilerplate lines that a page holds, never more than its own."""
+    bad = bad.select(F.col("host").alias("bad_host"), F.col("line_hash").alias("bad_line"))
+    lines = _pages(docs, host, text).select("host", "page", F.explode("lines").alias("line")).distinct()
+    on = F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line"))
+    return lines.join(F.broadcast(bad) if small else bad, on).groupBy("host", "page").agg(F.collect_list("line").alias("bad"))
+
+
 def drop_lines(
     docs: DataFrame,
     host: Column | str = "source",
@@ -88,36 +103,28 @@ def drop_lines(
     ``dropped`` names an optional column with the number of removed lines.
     A page keeps the order of its other lines, joined by newlines.
     """
-    host = F.col(host) if isinstance(host, str) else host
-    bad = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    per_host = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_hash").alias("__bad"))
-    per_host = per_host.withColumn("__known", F.lit(True))
-    left = docs.withColumn("__row_host", host)
-    if bad.count() <= broadcast_lines:
-        joined = left.join(F.broadcast(per_host), F.col("__row_host").eqNullSafe(F.col("__host")), "left")
-    else:
-        salted = per_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = left.withColumn("__row_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = left.join(
-            salted,
-            F.col("__row_host").eqNullSafe(F.col("__host")) & (F.col("__row_salt") == F.col("__salt")),
-            "left",
-        )
-    lines = F.split(F.col(text), "\n", -1)
-    joined = joined.withColumn(
-        "__hit",
-        F.when(
-            F.col("__known") & F.col(text).isNotNull(),
-            F.array_intersect(F.transform(F.split(F.col(text), "\n", -1), _key), F.col("__bad")),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__hit"), _key(x)))
-    hit = F.size("__hit") > 0
-    joined = joined.withColumn("__kept", F.when(hit, kept))
-    out = [
-        (F.when(hit, F.array_join("__kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`"))
-        for c in docs.columns
-    ]
+    host = F.col(f"`{host}`") if isinstance(host, str) else host
+    own = F.col(f"`{text}`")
+    with scratch_scope(docs.sparkSession) as scratch:
+        bad = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
+        size = bad.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+        small = size["n"] <= broadcast_lines
+        names = [free_name([*docs.columns, dropped or ""], x) for x in ("bad_host", "bad_page", "bad_lines", "hit_lines", "kept_lines")]
+        at_host, at_page, known, hits, rest = names
+        on = host.eqNullSafe(F.col(at_host))
+        if small and size["most"] <= HOST_LINES:
+            per_host = bad.groupBy(F.col("host").alias(at_host)).agg(F.collect_set("line_hash").alias(known))
+            joined = docs.join(F.broadcast(per_host), on, "left")
+        else:
+            mine = stage(_lines_of_pages(docs, host, text, bad, small), "pages").toDF(at_host, at_page, known)
+            joined = docs.join(mine, on & (_page(own) == F.col(at_page)), "left")
+        scratch.release(joined)
+    lines = F.split(own, "\n", -1)
+    found = F.array_intersect(F.transform(lines, _key), F.col(known))
+    joined = joined.withColumn(hits, F.when(F.col(known).isNotNull() & own.isNotNull(), found).otherwise(F.array().cast("array<bigint>")))
+    hit = F.size(hits) > 0
+    joined = joined.withColumn(rest, F.when(hit, F.filter(lines, lambda x: ~F.array_contains(F.col(hits), _key(x)))))
+    out = [F.when(hit, F.array_join(rest, "\n")).otherwise(own).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        out.append(F.when(hit, F.size(lines) - F.size("__kept")).otherwise(F.lit(0)).cast("bigint").alias(dropped))
+        out.append(F.when(hit, F.size(lines) - F.size(rest)).otherwise(F.lit(0)).cast("bigint").alias(dropped))
     return joined.select(*out)

@@ -160,5 +160,30 @@ FROM t LEFT JOIN k USING (rid)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GRAMS = ", ".join(f"({tid}, '{label}', '{kind}', {grams}, {t}, '{gram}')" for tid, label, kind, grams, t, gram in licenses.templates())
+
+#: Diagonals of two-word grams over the same templates, with windows in place of the scan.
+OP3_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT rid, unnest(list_transform(range(1, len(ws)), lambda i: {{'pos': i - 1, 'gram': ws[i] || ' ' || ws[i + 1]}}), recursive := true) FROM t),
+tp(tid, label, kind, grams, tpos, tgram) AS (VALUES {_GRAMS}),
+d AS (SELECT rid, tid, label, kind, grams, pos - tpos AS diag, list(DISTINCT tpos) AS tps, min(pos) AS lo, max(pos) AS hi
+      FROM g JOIN tp ON gram = tgram GROUP BY ALL),
+c AS (SELECT *, CASE WHEN diag - lag(diag) OVER w > CASE WHEN kind = 'notice' THEN {licenses.MAX_SHIFT} ELSE 0 END THEN 1 ELSE 0 END AS cut
+      FROM d WINDOW w AS (PARTITION BY rid, tid ORDER BY diag)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY rid, tid ORDER BY diag) AS island FROM c),
+s AS (SELECT rid, tid, label, kind, grams, island, len(list_distinct(flatten(list(tps)))) AS matched, min(lo) AS fw, max(hi) + {licenses.K - 1} AS lw
+      FROM i GROUP BY rid, tid, label, kind, grams, island),
+k AS (SELECT *, matched / grams AS coverage FROM s WHERE CASE WHEN kind = 'notice'
+        THEN matched / grams >= {licenses.COVERAGE} AND lw - fw + 1 <= {licenses.MAX_STRETCH} * (grams + {licenses.K - 1}) ELSE matched = grams END)
+SELECT doc_id, len(ws) AS n_words, count(*) FILTER (kind = 'base') AS n_base, min(fw) FILTER (kind = 'base') AS first_word,
+  max(fw) FILTER (kind = 'base') AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base'), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0.0::DOUBLE) AS score
+FROM t LEFT JOIN k ON t.rid = k.rid GROUP BY t.rid, doc_id, ws
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_license_scan": OP3_SQL}

@@ -28,6 +28,13 @@ def bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def filesystem(uri: str):
+    """(file system, path) of an address in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
 def arrow_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of an Arrow string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -62,13 +69,17 @@ def list_column(flat: np.ndarray, lengths) -> pa.Array:
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``, a staged table of one column.
+def without_keys(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone``, a staged table of one column.
 
-    Up to BROADCAST_IDS ids, counted, are broadcast, so texts need no shuffle;
+    Up to BROADCAST_IDS keys, counted, are broadcast, so texts need no shuffle;
     more are joined by shuffle.
     """
     name = free_name(docs.columns, "gone")
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     gone = gone.toDF(name)
-    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, key == F.col(name), "left_anti")
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    return without_keys(docs, F.col(f"`{id_col}`").cast("bigint"), gone)

@@ -42,8 +42,9 @@ def test_quality_measures_and_filter(docs):
     assert quality.filter_documents(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_line_dedup(spark, limit):
+@pytest.mark.parametrize("limit,per_host", [(1000, 4096), (1000, 0), (0, 4096)])
+def test_line_dedup(spark, monkeypatch, limit, per_host):
+    monkeypatch.setattr(linedup, "HOST_LINES", per_host)
     rows = [(i, f"menu\nbody {i}\n\nfoot", "a") for i in range(20)] + [(50, "menu\nother", "b"), (51, None, "a"), (52, "", None)]
     rows += [(100 + i, "copy line", "c") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -51,6 +52,12 @@ def test_line_dedup(spark, limit):
     assert got[3]["text"] == "body 3\n" and got[3]["n"] == 2
     assert got[50]["text"] == "menu\nother" and got[51]["text"] is None and got[52]["text"] == "" and got[100]["text"] == "copy line"
     assert len(got) == len(rows)
+    long = "menu\n" + "x" * 3_000_000
+    odd = spark.createDataFrame([(i, t, "a", None, "k", 1) for i, t in enumerate([f"menu\nbody {k}" for k in range(20)] + [long, long, None])], "bad_host int, text string, host string, bad_lines string, hit_lines string, page int")
+    out = linedup.drop_lines(odd, "host", dropped="kept_lines", broadcast_lines=limit).collect()
+    assert [c for c in out[0].asDict()] == [*odd.columns, "kept_lines"] and len(out) == 23
+    assert sorted(r["kept_lines"] for r in out) == [0] + [1] * 22 and sum(r["text"] == long[5:] for r in out) == 2
+    assert linedup.drop_lines(odd.where("false"), "host", broadcast_lines=limit).count() == 0
 
 
 def test_license_scan(spark, docs):
@@ -347,6 +354,31 @@ def test_token_files(spark, docs, tmp_path):
     assert not len(binary_output.decode_ranks(*binary_output.encode_ranks(r[:0], lens[:1])[:2], lens[:1]))
 
 
+def test_token_files_odd_rows(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    assert binary_output.read_tokens(binary_output.write_tokens(docs.where("false"), folder, tokenizer_path()), folder).count() == 0
+    rows = [(None, "same text")] * 40 + [(3, "x " * 200_000), (3, "tie"), (3, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, ids int, tie int, row int").repartition(5)
+    folder = f"file://{tmp_path}/some"
+    got = binary_output.read_tokens(binary_output.write_tokens(df, folder, tokenizer_path(), shards=6), folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 40 + [3] * 3 and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(43)]
+    assert sorted(r["n_tokens"] for r in got[40:]) == sorted(len(whole_ids(t)) + 1 for _, t in rows[40:])
+    path = sorted((tmp_path / "some").glob("shard-*"))[0]
+    by_rank = np.fromfile(tmp_path / "some/ranks.bin", "<u4")
+    whole = path.read_bytes()
+    for cut in (whole[:-1], whole[:-24], b"other" + whole):
+        path.write_bytes(cut)
+        with pytest.raises(ValueError):
+            list(binary_output.read_shard(f"file://{path}", by_rank))
+
+
+def test_packing_odd_rows(spark, docs):
+    assert packing.pack(docs.where("false"), tokenizer_path()).count() == 0
+    df = spark.createDataFrame([(None, "a b", 1, 2)] * 3 + [(1, None, 1, 2)], "doc_id bigint, text string, piece int, task int")
+    got = packing.pack(df, tokenizer_path()).collect()
+    assert len(got) == 4 and sorted(r["offset"] for r in got)[0] == 0 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4
+
+
 def test_pieces_equal_whole_texts():
     import random
 
@@ -386,10 +418,38 @@ def test_leaks(spark):
     assert got == {(b + k, k) for b in (100, 200) for k in range(12)} | {(None, 0)}
     assert decontam.find_leaks(df, bench.where("false")).count() == 0
     assert decontam.find_leaks(df.where("false"), bench).count() == 0
-    assert decontam.drop_leaks(df, bench).count() == 63
+    assert decontam.drop_leaks(df, bench).count() == 62
+    clash = df.select("doc_id", "text", F.lit(1).alias("gone"), F.lit(2).alias("key"), F.lit(3).alias("words"))
+    assert decontam.drop_leaks(clash.union(clash), bench).count() == 124 and decontam.drop_leaks(clash, bench).columns == clash.columns
     assert decontam.lcs([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_leaks_equal_brute_force(spark, monkeypatch, block):
+    """Brute force: the longest common subsequence of every item with every stretch of every text."""
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    rnd = np.random.default_rng(21)
+    def words(n):
+        return [f"t{x}" for x in rnd.zipf(1.3, n) % 3000]
+    def broken(ws, share, extra):
+        kept = [w for w in ws if rnd.random() < share]
+        return [x for w in kept for x in ([w] + words(1) if rnd.random() < extra else [w])]
+    items = [(k, words(int(rnd.integers(20, 50)))) for k in range(10)]
+    texts = [words(200) for _ in range(20)]
+    for share, extra in ((1.0, 0.0), (0.9, 0.0), (0.85, 0.0), (0.9, 0.2), (0.5, 0.0), (0.3, 0.5)):
+        for _, ws in items:
+            texts.append(words(int(rnd.integers(0, 120))) + broken(ws, share, extra) + words(int(rnd.integers(0, 120))))
+    def best(ws, text):
+        m, reach = len(ws), len(ws) + len(ws) // 2
+        return max(decontam.lcs(ws, text[a : a + reach]) for a in range(0, max(1, len(text) - m // 2)))
+    want = {(d, k) for d, text in enumerate(texts) for k, ws in items if best(ws, text) >= 0.8 * len(ws)}
+    loose = {(d, k) for d, text in enumerate(texts) for k, ws in items if decontam.lcs(ws, text) >= 0.6 * len(ws)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect()}
+    assert len(want) > 25 and len(got & want) >= 0.97 * len(want) and got <= loose
+
+
 def test_verbatim_leaks_at_any_cosine(spark):
     rnd = np.random.default_rng(9)
     def words(n):
