@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .functions import vector as V
 from .operators import evaluate, index, search, telemetry, vectorize
 from .params import EMBEDDING_DIM as D
 from .params import EMBEDDING_PARAMS as EP
@@ -123,7 +122,7 @@ def guarded_ratio(spark, sf_dir):
 
 @query(f"WITH {E.RECORDS_SQL} SELECT * FROM rec")
 def quantize_vectors(spark, sf_dir):
-    return E.records(spark, sf_dir)
+    return E.unrolled(E.records(spark, sf_dir), "q")
 
 
 @query(f"WITH {E.RECORDS_SQL} SELECT tag, count(*) AS n FROM rec GROUP BY tag")
@@ -135,9 +134,7 @@ def partition_counts(spark, sf_dir):
 def squared_distances(spark, sf_dir):
     records = E.records(spark, sf_dir)
     c = index.pivots(records, EP.clusters)
-    return records.alias("r").join(F.broadcast(c.alias("c")), F.col("r.tag") == F.col("c.tag")).select(
-        "r.ref_id", "c.cluster_id", V.squared_distance("r", "c", D).alias("dist")
-    )
+    return index.distances(records, c, D)
 
 
 # -- requests and features -----------------------------------------------------
@@ -247,7 +244,7 @@ def cluster_counts(spark, sf_dir):
 
 @query(f"WITH {_BOXES} SELECT * EXCLUDE (n, \"offset\") FROM box")
 def cluster_bbox(spark, sf_dir):
-    return _index(spark, sf_dir)[3].drop("n", "offset")
+    return E.unrolled(_index(spark, sf_dir)[3].drop("n", "offset"), "mn", "mx")
 
 
 @query(f'WITH {_BOXES} SELECT tag, cluster_id, "offset" FROM box')
@@ -262,7 +259,7 @@ def cluster_offsets(spark, sf_dir):
 )
 def cluster_means(spark, sf_dir):
     _, centroids, assigned, _ = _index(spark, sf_dir)
-    return index.cluster_means(assigned, centroids, D)
+    return E.unrolled(index.cluster_means(assigned, centroids, D), "m")
 
 
 @query(f"""WITH {_ASSIGNED} SELECT ref_id, tag, cluster_id, row_number() OVER (PARTITION BY tag, cluster_id ORDER BY ref_id) - 1 AS pos_in_cluster,
@@ -286,13 +283,13 @@ def kmeans_mllib(spark, sf_dir):
 def knn_exact_vote(spark, sf_dir):
     records = E.records(spark, sf_dir)
     q = E.queries_of(records)
-    return search.vote(q, search.exact_neighbours(q, records, D, EP), EP)
+    return search.vote(q, search.exact_neighbours(q, records, D, EP, not_self=True), EP)
 
 
 @query(f"WITH {_PAIRS} SELECT qid, ref_id, dist, rn FROM top")
 def knn_exact_neighbours(spark, sf_dir):
     records = E.records(spark, sf_dir)
-    return search.exact_neighbours(E.queries_of(records), records, D, EP).select("qid", "ref_id", "dist", "rn")
+    return search.exact_neighbours(E.queries_of(records), records, D, EP, not_self=True).select("qid", "ref_id", "dist", "rn")
 
 
 @query(f"WITH {_RANKED} SELECT qid, tag, cluster_id, lb FROM rk")
@@ -309,7 +306,7 @@ def cluster_rank(spark, sf_dir):
 
 def _ivf(spark, sf_dir, repair=True):
     records, _, assigned, clusters = _index(spark, sf_dir)
-    return search.probe(E.queries_of(records), clusters, assigned, D, EP, repair)
+    return search.probe(E.queries_of(records), clusters, assigned, D, EP, repair, not_self=True)
 
 
 @query(f"""WITH {_IVF}, v AS (SELECT qid, CAST(sum(label) AS INT) AS frauds, min(d) AS d1, arg_min(label, [CAST(d AS DOUBLE), rank, ref_id]) AS l1,

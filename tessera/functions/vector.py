@@ -1,4 +1,8 @@
-"""Distances over unrolled integer columns; these stay inside generated code."""
+"""Distances over unrolled integer columns, as expressions.
+
+For pairs of many vectors use ``operators.kernels``: expressions over more columns
+than code generation takes are interpreted.
+"""
 
 from __future__ import annotations
 

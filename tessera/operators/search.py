@@ -1,17 +1,25 @@
 """Nearest-neighbour search: exact, and by probing clusters with repair.
 
-All distances are exact integers, compared in single precision; every order
-ends in a unique key, so results don't depend on partitioning.
+Records stay where they are: a block of queries (``SearchParams.block`` rows at
+most) goes to the tasks, which hold it against their records by matrix products
+and send the best few of each query.  All distances are exact integers, compared
+in single precision; every order ends in a unique key, so results don't depend on
+partitioning.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import box_bound, squared_distance
 from ..params import SearchParams
-from ..runtime import stage
+from ..runtime import ship, stage
+from . import kernels
+from .index import by_tag
 
 INF = 1e20
 
@@ -26,26 +34,64 @@ def _top(df: DataFrame, k: int, order: list) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def exact_neighbours(queries: DataFrame, records: DataFrame, dim: int, p: SearchParams, same_tag: bool = False) -> DataFrame:
+def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """``queries`` in parts of about ``size`` rows, by hash of the id."""
+    n = max(1, -(-queries.count() // size))
+    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) for b in range(n)]
+
+
+def _scan_all(ids: np.ndarray, tags: np.ndarray, q: np.ndarray, dim: int, k: int, same_tag: bool, not_self: bool):
+    """Per task, the ``k`` nearest of its records to every query."""
+    names = ["qid", "ref_id", "label", "dist"]
+
+    def run(batches):
+        wide = q.astype(np.float64)
+        bound = np.full(len(ids), np.finfo(np.float32).max, np.float32)
+        held: list[list[np.ndarray]] = []
+
+        def best():
+            row, ref, label, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ref, d.astype(np.float32), row))
+            row, ref, label, d = row[order], ref[order], label[order], d[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            bound[row[last]] = d[last].astype(np.float32)
+            held[:] = [[row[keep], ref[keep], label[keep], d[keep]]]
+
+        for part in kernels.chunks(batches):
+            refs, rtags, labels, r = kernels.column(part, "ref_id"), kernels.column(part, "tag"), kernels.column(part, "label"), kernels.matrix(part, dim)
+            for a in range(0, len(ids), kernels.QUERIES):
+                d = kernels.squared(wide[a : a + kernels.QUERIES], r)
+                if same_tag:
+                    d[tags[a : a + kernels.QUERIES, None] != rtags] = np.inf
+                if not_self:
+                    d[ids[a : a + kernels.QUERIES, None] == refs] = np.inf
+                row, col = kernels.nearest(d, refs, k, bound[a : a + kernels.QUERIES])
+                held.append([row + a, refs[col], labels[col], d[row, col].astype(np.int64)])
+            best()
+        if held:
+            row, *rest = held[0]
+            yield from pa.Table.from_arrays([pa.array(ids[row]), *(pa.array(x) for x in rest)], names).to_batches(1 << 16)
+
+    return run
+
+
+def exact_neighbours(queries: DataFrame, records: DataFrame, dim: int, p: SearchParams, same_tag: bool = False, not_self: bool = False) -> DataFrame:
     """(qid, ref_id, label, dist, rn) of the k nearest records of every query.
 
-    Queries are broadcast in blocks of ``p.block`` rows against a scan of all
-    records; top-k is cut per task before the shuffle, which then carries k rows
-    per query and task.
+    ``not_self`` is for queries that are records themselves: a record is then no
+    neighbour of the query with its number.  The shuffle carries k rows per query
+    and task.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // p.block))
-    out = None
-    for b in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        on = F.col("q.qid") != F.col("r.ref_id")
-        if same_tag:
-            on = on & (F.col("q.tag") == F.col("r.tag"))
-        pairs = records.alias("r").join(F.broadcast(q.alias("q")), on)
-        near = pairs.select("q.qid", "r.ref_id", "r.label", squared_distance("q", "r", dim).alias("dist"))
-        top = _top(near, p.k, [F.col("dist").cast("float"), F.col("ref_id")])
-        out = top if out is None else out.unionByName(top)
-    return out
+    ship(records.sparkSession)
+    qs = kernels.codes(records, dim)
+    found = []
+    for part in _blocks(queries, p.block):
+        q = part.select("qid", "tag", *kernels.codes(queries, dim)).toArrow()  # one block
+        ids, tags, codes = kernels.column(q, "qid"), kernels.column(q, "tag"), kernels.matrix(q, dim).astype(np.int16)
+        scan = _scan_all(ids, tags, codes, dim, p.k, same_tag, not_self)
+        found.append(records.select("ref_id", "tag", "label", *qs).mapInArrow(scan, "qid bigint, ref_id bigint, label int, dist bigint"))
+    return _top(reduce(DataFrame.unionByName, found), p.k, [F.col("dist").cast("float"), F.col("ref_id")])
 
 
 def vote(queries: DataFrame, neighbours: DataFrame, p: SearchParams) -> DataFrame:
@@ -62,32 +108,98 @@ def vote(queries: DataFrame, neighbours: DataFrame, p: SearchParams) -> DataFram
     return out.select("qid", "tag", score.alias("score"), (score < p.approve_below).alias("approved"), "sum_dist", "sum_id")
 
 
-def rank_clusters(queries: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
-    """(qid, tag, cluster_id, n, lb, rank): clusters of the query's tag by lower bound.
+def _ranks(known: dict[int, tuple], dim: int, upto: int | None, repair: int | None = None):
+    """Clusters of each query's tag by (lower bound, number), the first ``upto``
+    of them; with ``repair``, those from that rank on which a repair may read."""
+
+    def run(batches):
+        for part in kernels.chunks(batches, kernels.QUERIES):
+            ids, tags, q = kernels.column(part, "qid"), kernels.column(part, "tag"), kernels.matrix(part, dim)
+            for t in np.unique(tags).tolist():
+                if t not in known:
+                    continue
+                number, low, high, n = known[t]
+                own = np.flatnonzero(tags == t)
+                for a in range(0, len(own), kernels.QUERIES):
+                    at = own[a : a + kernels.QUERIES]
+                    lb = kernels.box_bounds(q[at], low, high).astype(np.float32)
+                    order = np.argsort(lb, axis=1, kind="stable")[:, :upto]
+                    lb = np.take_along_axis(lb, order, axis=1)
+                    rank = np.broadcast_to(np.arange(order.shape[1]), order.shape)
+                    keep = np.ones(order.shape, bool)
+                    if repair is not None:
+                        hit = np.nan_to_num(part.column("hit").to_numpy().astype(np.float64)[at], nan=-1.0)[:, None]
+                        keep = (rank >= repair) & (lb < kernels.column(part, "kth")[at, None]) & ((hit < 0) | (rank == repair))
+                    row, col = np.nonzero(keep)
+                    c = order[row, col]
+                    cols = [ids[at][row], np.full(len(row), t, np.int32), number[c], n[c], lb[row, col], rank[row, col].astype(np.int32)]
+                    names = ["qid", "tag", "cluster_id", "n", "lb", "rank"]
+                    yield from pa.Table.from_arrays([pa.array(x) for x in cols], names).to_batches(1 << 16)
+
+    return run
+
+
+_RANKED = "qid bigint, tag int, cluster_id int, n bigint, lb float, rank int"
+
+
+def rank_clusters(queries: DataFrame, clusters: DataFrame, dim: int, upto: int | None = None) -> DataFrame:
+    """(qid, tag, cluster_id, n, lb, rank): clusters of the query's tag by lower
+    bound, the first ``upto`` if given.
+
+    The cluster table (clusters x tags rows, bounded by the parameters) goes to
+    the tasks; queries stay where they are.
+    """
+    ship(queries.sparkSession)
+    return _ranked(queries, by_tag(clusters, dim, "mn", "mx", "n"), dim, upto)
+
+
+def _ranked(queries: DataFrame, known: dict[int, tuple], dim: int, upto: int | None) -> DataFrame:
+    return queries.select("qid", "tag", *kernels.codes(queries, dim)).mapInArrow(_ranks(known, dim, upto), _RANKED)
+
 
-    The cluster table (clusters x tags rows) is broadcast; only narrow rows are
-    ranked.
+def _scan_probes(probes: pa.Table, ids: np.ndarray, q: np.ndarray, dim: int, k: int, not_self: bool):
+    """Per task, the ``k`` nearest of its records in each probed cluster of a query.
+
+    The best of each rank suffice: what is among the best over several ranks is
+    so in its own.
     """
-    narrow = (
-        queries.alias("q")
-        .join(F.broadcast(clusters.alias("c")), F.col("q.tag") == F.col("c.tag"))
-        .select("q.qid", "q.tag", "c.cluster_id", "c.n", box_bound("q", "c", dim).cast("float").alias("lb"))
-    )
-    w = Window.partitionBy("qid").orderBy("lb", "cluster_id")
-    return narrow.withColumn("rank", F.row_number().over(w) - 1)
-
-
-def _candidates(queries: DataFrame, probes: DataFrame, records: DataFrame, dim: int) -> DataFrame:
-    q = queries.select("qid", *[f"q{i}" for i in range(dim)])
-    probe = probes.select("qid", "tag", "cluster_id", "rank").join(q, "qid").alias("q")
-    return (
-        probe.join(
-            records.alias("r"),
-            (F.col("q.tag") == F.col("r.tag")) & (F.col("q.cluster_id") == F.col("r.cluster_id")) & (F.col("q.qid") != F.col("r.ref_id")),
-        )
-        .select("q.qid", "q.rank", "r.ref_id", "r.label", squared_distance("q", "r", dim).alias("dist"))
-        .withColumn("d", F.col("dist").cast("float"))
-    )
+    of = np.searchsorted(ids, kernels.column(probes, "qid"))
+    cell = kernels.column(probes, "tag").astype(np.int64) << 32 | kernels.column(probes, "cluster_id")
+    order = np.argsort(cell, kind="stable")
+    cell, of, rank = cell[order], of[order], kernels.column(probes, "rank")[order]
+    names = ["qid", "rank", "ref_id", "label", "dist", "d"]
+
+    def run(batches):
+        wide = q.astype(np.float64)
+        for part in kernels.chunks(batches):
+            refs, labels, r = kernels.column(part, "ref_id"), kernels.column(part, "label"), kernels.matrix(part, dim)
+            cells = kernels.column(part, "tag").astype(np.int64) << 32 | kernels.column(part, "cluster_id")
+            found = []
+            for c in np.unique(cells):
+                lo, hi = np.searchsorted(cell, [c, c + 1])
+                at = np.flatnonzero(cells == c)
+                for a in range(lo, hi, kernels.QUERIES):
+                    mine = of[a : min(hi, a + kernels.QUERIES)]
+                    d = kernels.squared(wide[mine], r[at])
+                    if not_self:
+                        d[ids[mine, None] == refs[at]] = np.inf
+                    row, col = kernels.nearest(d, refs[at], k)
+                    dist = d[row, col].astype(np.int64)
+                    found.append((ids[mine[row]], rank[a + row], refs[at[col]], labels[at[col]], dist, dist.astype(np.float32)))
+            if found:
+                cols = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield from pa.Table.from_arrays(cols, names).to_batches(1 << 16)
+
+    return run
+
+
+def _candidates(queries: DataFrame, probes: DataFrame, records: DataFrame, dim: int, k: int, not_self: bool) -> DataFrame:
+    """(qid, rank, ref_id, label, dist, d) of the best records of every probe, for one block of queries."""
+    q = queries.select("qid", *kernels.codes(queries, dim)).toArrow().sort_by("qid")  # one block
+    listed = probes.select("qid", "tag", "cluster_id", "rank").toArrow()  # its probes
+    scan = _scan_probes(listed, kernels.column(q, "qid"), kernels.matrix(q, dim).astype(np.int16), dim, k, not_self)
+    schema = "qid bigint, rank int, ref_id bigint, label int, dist bigint, d float"
+    return records.select("ref_id", "tag", "label", "cluster_id", *kernels.codes(records, dim)).mapInArrow(scan, schema)
 
 
 def _cut_after_hit(cand: DataFrame, early: int) -> DataFrame:
@@ -119,15 +231,22 @@ def _scanned(kth: Column, top: Column, lb: Column, rank: Column) -> Column:
     return (lb < kth) | ((lb == kth) & (deepest >= rank))
 
 
-def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int, p: SearchParams, repair: bool = True) -> DataFrame:
+def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int, p: SearchParams, repair: bool = True, not_self: bool = False) -> DataFrame:
     """Search by ``p.nprobe`` clusters, then repair of ambiguous votes.
 
     Returns one row per query: score, approved, clusters_probed,
     vectors_scanned, repair_triggered, early_exit_taken, sum_dist, sum_id.
+    ``qid`` must be unique; ``not_self`` is as in ``exact_neighbours``.
     """
-    ranked = stage(rank_clusters(queries, clusters, dim), "ranked")
-    first = ranked.where(F.col("rank") < p.nprobe)
-    stage1 = _kept(_cut_after_hit(_candidates(queries, first, records, dim), p.early_exit), p.k)
+    ship(records.sparkSession)
+    parts, known = _blocks(queries, p.probe_block), by_tag(clusters, dim, "mn", "mx", "n")
+    return reduce(DataFrame.unionByName, [_probe_block(q, known, records, dim, p, repair, not_self) for q in parts])
+
+
+def _probe_block(queries: DataFrame, clusters: dict[int, tuple], records: DataFrame, dim: int, p: SearchParams, repair: bool, not_self: bool) -> DataFrame:
+    # nprobe rows a query of the block
+    first = records.sparkSession.createDataFrame(_ranked(queries, clusters, dim, p.nprobe).toArrow(), _RANKED)
+    stage1 = _kept(_cut_after_hit(_candidates(queries, first, records, dim, p.k, not_self), p.early_exit), p.k)
     stage1 = stage1.withColumn("kth", _fifth(p.k)).withColumn("frauds", _frauds())
     empty_top = F.array().cast("array<struct<d:float,rank:int,ref_id:bigint,label:int,dist:bigint>>")
     state = queries.select("qid", "tag").join(stage1, "qid", "left").select(
@@ -140,10 +259,11 @@ def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int,
     final = state
     if repair:
         open_ = state.where("repair").select("qid", "kth", "hit", "top")
-        more = ranked.where(F.col("rank") >= p.nprobe).join(open_, "qid").where(F.col("lb") < F.col("kth"))
         # after an early exit the scan resumes at the first unread rank and stops there
-        more = more.where(F.col("hit").isNull() | (F.col("rank") == p.nprobe))
-        extra = _cut_after_hit(_candidates(queries, more, records, dim), p.early_exit)
+        asked = queries.join(open_.drop("top"), "qid")
+        narrow = asked.select("qid", "tag", "kth", "hit", *kernels.codes(asked, dim))
+        more = stage(narrow.mapInArrow(_ranks(clusters, dim, None, p.nprobe), _RANKED), "more")
+        extra = _cut_after_hit(_candidates(asked, more, records, dim, p.k, not_self), p.early_exit)
         old = open_.select("qid", F.explode("top").alias("x")).select("qid", "x.rank", "x.ref_id", "x.label", "x.dist", "x.d", F.lit(None).cast("int").alias("hit"))
         extra = stage(extra, "repair")
         merged = _kept(extra.select("qid", "rank", "ref_id", "label", "dist", "d", "hit").unionByName(old), p.k)
@@ -167,6 +287,7 @@ def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int,
         & (F.col("hit2").isNull() | (F.col("rank") <= F.col("hit2")))
         & (_scanned(F.col("kth2"), F.col("best"), F.col("lb"), F.col("rank")) | F.col("hit").isNotNull())
     )
+    ranked = first.unionByName(more) if repair else first
     counts = (
         ranked.join(final.select("qid", "hit", "kth", "top", "repair", "hit2", "kth2", "best"), "qid")
         .where(read1 | read2)

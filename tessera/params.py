@@ -29,8 +29,10 @@ class SearchParams:
     early_exit: int = 10000
     clusters: int = 2048
     approve_below: float = 0.5
-    #: Query rows per broadcast block of exact search.
-    block: int = 4096
+    #: Query rows that go to the tasks at once: of exact search (some tens of MB), and
+    #: of probing, where each row may bring as many probes as there are clusters.
+    block: int = 65_536
+    probe_block: int = 8192
 
 
 #: For the 64-dimensional embeddings table, whose distances are far larger.

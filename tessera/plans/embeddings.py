@@ -10,19 +10,22 @@ from ..params import EMBEDDING_DIM, TAG_HIGH, TAG_LOW
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_id, tag, label, q0..q63).  Values in [-1, 1] are mapped to [0, 1] first;
+    """(ref_id, tag, label, q).  Values in [-1, 1] are mapped to [0, 1] first;
     the tag is taken from the raw signs, so all four partitions fill."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    raw = [F.element_at("embedding", i + 1) for i in range(EMBEDDING_DIM)]
-    q = [S.quantize(S.f32((x + S.f32(1.0)) * S.f32(0.5))).alias(f"q{i}") for i, x in enumerate(raw)]
     return e.select(
         F.col("vec_id").alias("ref_id"),
-        S.tag(raw[TAG_HIGH], raw[TAG_LOW]).alias("tag"),
+        S.tag(F.element_at("embedding", TAG_HIGH + 1), F.element_at("embedding", TAG_LOW + 1)).alias("tag"),
         (F.col("label") < 4).cast("int").alias("label"),
-        *q,
+        F.transform("embedding", lambda x: S.quantize(S.f32((x + S.f32(1.0)) * S.f32(0.5)))).alias("q"),
     )
 
 
+def unrolled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with array columns spread to one column a dimension."""
+    return df.select("*", *[F.col(n)[i].alias(f"{n}{i}") for n in names for i in range(EMBEDDING_DIM)]).drop(*names)
+
+
 def queries_of(records_: DataFrame) -> DataFrame:
     return records_.withColumnRenamed("ref_id", "qid").drop("label")
 

@@ -72,7 +72,7 @@ def test_probe_equals_sequential_search(spark, seed, n, early):
     for r in sorted(assigned):
         by.setdefault((r[1], r[-1]), []).append(r)
     clusters = [r.asDict() for r in ix.clusters.collect()]
-    got = search.probe(records.withColumnRenamed("ref_id", "qid").drop("label"), ix.clusters, ix.records, DIM, p).collect()
+    got = search.probe(records.withColumnRenamed("ref_id", "qid").drop("label"), ix.clusters, ix.records, DIM, p, not_self=True).collect()
     assert len(got) == n
     for g in got:
         r = rows[g["qid"]]
