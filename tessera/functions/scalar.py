@@ -45,3 +45,9 @@ def tag(high: Column, low: Column) -> Column:
 def risk_code(mcc: Column) -> Column:
     """The four leading characters of a category code, digits only."""
     return F.regexp_replace(F.substring(mcc, 1, 4), "[^0-9]", "")
+
+
+def bounded_int(text: Column, default: int, low: int, high: int) -> Column:
+    """``config.bounded_int`` of a column: the number that a text begins with, clamped."""
+    n = F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0))
+    return F.when(text.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), n))).cast("int")

@@ -9,6 +9,11 @@ RING, EVERY = 4096, 200
 STAGES = ("recv_ns", "json_ns", "knn_ns", "send_ns", "total_ns")
 
 
+def recorded(samples: DataFrame) -> DataFrame:
+    """Samples that were timed; others never enter the ring."""
+    return samples.where("total_ns > 0")
+
+
 def newest(samples: DataFrame, n: int = RING) -> DataFrame:
     """The ``n`` newest samples: a top-n, cut per task before it is merged."""
     return samples.orderBy(F.desc("seq")).limit(n)
@@ -70,3 +75,33 @@ def running_totals(samples: DataFrame) -> DataFrame:
         .join(base, "range")
         .select("seq", (F.col("c0") + F.row_number().over(own)).alias("count"), (F.col("s0") + F.sum("total_ns").over(own)).alias("total_ns"))
     )
+
+
+def report(samples: DataFrame, ring: int = RING) -> DataFrame:
+    """One row over the newest samples: how many there were in all, and per stage
+    and counter what ``percentiles`` and ``detail`` say."""
+    kept = newest(recorded(samples), ring)
+    p = [F.percentile(m, F.array(F.lit(0.5), F.lit(0.99))).alias(m) for m in STAGES]
+    top = [F.max(m).alias(f"max_{m}") for m in STAGES]
+    shares = [F.avg(c).alias(f"avg_{c}") for c in ("clusters_probed", "vectors_scanned", "repair_triggered", "early_exit_taken")]
+    one = kept.agg(F.count("*").alias("kept"), *p, *top, *shares)
+    cols = ["seen", "kept"]
+    for m in STAGES:
+        short = m.removesuffix("_ns")
+        cols += [F.floor(F.col(m)[0]).alias(f"{short}_p50_ns"), F.floor(F.col(m)[1]).alias(f"{short}_p99_ns"), F.col(f"max_{m}").alias(f"{short}_max_ns")]
+    cols += [F.col("avg_clusters_probed").alias("avg_clusters"), F.col("avg_vectors_scanned").alias("avg_vectors")]
+    cols += [(F.col("avg_repair_triggered") * 100).alias("repair_pct"), (F.col("avg_early_exit_taken") * 100).alias("early_exit_pct")]
+    return one.crossJoin(recorded(samples).agg(F.count("*").alias("seen"))).select(*cols)  # two single rows
+
+
+def report_line(reports: DataFrame) -> DataFrame:
+    """(line): a report as one line of text, times in milliseconds; for a text sink."""
+    parts = [F.format_string("[PERF] N=%d |", "seen")]
+    for m in STAGES:
+        short = m.removesuffix("_ns")
+        ms = [F.col(f"{short}_{k}_ns") / 1e6 for k in ("p50", "p99", "max")]
+        shown = F.format_string(f" {short}: p50=%.3f p99=%.3f max=%.3f", *ms)
+        parts.append(F.when(F.col("kept") > 0, shown).otherwise(F.lit(f" {short}: N/A")))
+    tail = [F.coalesce(c, F.lit(0.0)) for c in ("avg_clusters", "avg_vectors", "repair_pct", "early_exit_pct")]
+    parts.append(F.format_string(" | knn_detail: avg_clusters=%.1f avg_vecs=%.1f repair=%.1f%% early_exit=%.1f%%", *tail))
+    return reports.select(F.concat(*parts).alias("line"))

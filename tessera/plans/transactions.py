@@ -26,13 +26,18 @@ def transactions(events: DataFrame) -> DataFrame:
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     prior = by_user.rowsBetween(Window.unboundedPreceding, -1)
     day = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-86_400_000_000, 0)
-    first = F.row_number().over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id")) == 1
+    # a user's first 32 merchants are found per (user, merchant) and ranked, so no list grows with the events
+    first = base.groupBy("user_id", "k").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    early = Window.partitionBy("user_id").orderBy("at")
+    first = first.withColumn("place", F.row_number().over(early)).where(F.col("place") <= KNOWN_MERCHANTS_READ)
+    first = first.groupBy(F.col("user_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", F.concat(F.lit("MERC-"), "k").alias("m")))).alias("met"))
     merchant = base.groupBy("k").agg((F.sum("v").cast("double") / F.count("*")).cast("float").alias("merchant_avg"))
-    out = base.withColumn("new_merchant", F.when(first, F.concat(F.lit("MERC-"), "k"))).select(
+    before = F.filter("met", lambda x: x["at"] < F.struct("ts", "event_id"))
+    out = base.join(first, F.col("user_id") == F.col("of"), "left").select(
         "*",
         F.lag("ts").over(by_user).alias("last_ts"),
         (F.count("*").over(day) - 1).cast("float").alias("tx_count_24h"),
-        F.slice(F.collect_list("new_merchant").over(prior), 1, KNOWN_MERCHANTS_READ).alias("known_merchants"),
+        F.coalesce(F.transform(before, lambda x: x["m"]), F.array().cast("array<string>")).alias("known_merchants"),
         F.coalesce(F.sum("v").over(prior).cast("double") / F.count("*").over(prior), F.lit(0.0)).cast("float").alias("customer_avg"),
     )
     # k takes a few hundred values; AQE broadcasts the averages or not by their size

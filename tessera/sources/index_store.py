@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as ix
+from ..operators import kernels
+from ..operators.vectorize import quantized
 from ..params import DIM, SCALE, SearchParams
+from ..runtime import ship, stage
+from .requests import read_references
 
 CENTROID_WIDTH = 16
+#: Rounds of k-means of a production index.
+ROUNDS = 80
 
 
 @dataclass
@@ -21,13 +26,22 @@ class Index:
     records: DataFrame
     clusters: DataFrame
     dim: int = DIM
+    centroids: DataFrame | None = None
 
     @staticmethod
-    def build(records: DataFrame, dim: int = DIM, params: SearchParams = SearchParams(), rounds: int = 0) -> "Index":
-        """Clusters from pivots, refined by ``rounds`` Lloyd steps."""
-        centroids = ix.lloyd(records, params.clusters, dim, rounds) if rounds else ix.pivots(records, params.clusters)
-        assigned = ix.assign(records, centroids, dim)
-        return Index(assigned, ix.cluster_table(assigned, centroids, dim), dim)
+    def build(records: DataFrame, dim: int = DIM, params: SearchParams = SearchParams(), rounds: int = 0, method: str = "lloyd") -> "Index":
+        """Clusters from pivots, refined by ``rounds`` Lloyd steps, or from MLlib's
+        k-means of ``rounds`` steps at most with ``method="kmeans"``."""
+        if method == "kmeans":
+            centroids = ix.kmeans(records, params.clusters, dim, rounds or ROUNDS)
+        else:
+            centroids = ix.lloyd(records, params.clusters, dim, rounds) if rounds else stage(ix.pivots(records, params.clusters), "centroids")
+        assigned = stage(ix.assign(records, centroids, dim), "assigned")
+        return Index(assigned, stage(ix.cluster_table(assigned, centroids, dim), "clusters"), dim, centroids)
+
+    def resident(self) -> "Index":
+        """The same index, kept by the executors after its first use."""
+        return Index(self.records.persist(), self.clusters.persist(), self.dim, self.centroids)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Searches read one tag's folder and skip row groups by cluster."""
@@ -39,10 +53,24 @@ class Index:
             .parquet(f"{path}/records")
         )
         self.clusters.write.mode(mode).parquet(f"{path}/clusters")
+        if self.centroids is not None:
+            self.centroids.write.mode(mode).parquet(f"{path}/centroids")
 
     @staticmethod
     def load(spark: SparkSession, path: str, dim: int = DIM) -> "Index":
-        return Index(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/clusters"), dim)
+        return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("records", "clusters")), dim, spark.read.parquet(f"{path}/centroids"))
+
+    def size(self) -> int:
+        """Records over all partitions, from the cluster table."""
+        return self.clusters.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def build_index(spark: SparkSession, references: str, path: str, params: SearchParams = SearchParams(), rounds: int | None = None, method: str = "kmeans", mode: str = "errorifexists") -> Index:
+    """References (a JSON array, plain or gzip) to an index at ``path``: read, quantize,
+    cluster each tag, assign, write; returns the index as it reads back."""
+    records = stage(quantized(read_references(spark, references)), "references")
+    Index.build(records, DIM, params, ROUNDS if rounds is None else rounds, method).save(path, mode)
+    return Index.load(spark, path)
 
 
 # -- the raw binary layout, one set of files per tag --------------------------
@@ -100,26 +128,50 @@ def read_binary(spark: SparkSession, path: str, dim: int = DIM, records_per_task
 
 
 def write_binary(index: Index, path: str) -> None:
-    """One tag after another; each tag's rows are streamed to this process in order."""
-    import os
+    """The files that ``read_binary`` reads, and ``part{t}_centroids.bin``.
 
-    os.makedirs(path, exist_ok=True)
-    dim = index.dim
-    for t in range(4):
-        rows = index.records.where(F.col("tag") == t).orderBy("cluster_id", "ref_id")
-        boxes = index.clusters.where(F.col("tag") == t).orderBy("cluster_id").collect()
-        if not boxes:
-            continue
-        with open(f"{path}/part{t}_data_i16.bin", "wb") as data, open(f"{path}/part{t}_labels.bin", "wb") as labels:
-            sums = np.zeros((len(boxes), CENTROID_WIDTH))
-            for r in rows.toLocalIterator():
-                q = [r[f"q{i}"] for i in range(dim)]
-                data.write(struct.pack(f"<{dim}h", *q))
-                labels.write(bytes([r["label"]]))
-                sums[r["cluster_id"], :dim] += q
-        counts = np.array([b["n"] for b in boxes], np.int64)
-        np.concatenate([[0], np.cumsum(counts)]).astype("<u4").tofile(f"{path}/part{t}_offsets.bin")
-        for m, p in (("min", "mn"), ("max", "mx")):
-            np.array([[b[f"{p}{i}"] for i in range(dim)] for b in boxes], "<i2").tofile(f"{path}/part{t}_bbox_{m}_i16.bin")
-        centers = sums / np.maximum(1, counts)[:, None] / SCALE
-        centers.astype("<f4").tofile(f"{path}/part{t}_centroids.bin")
+    Each cluster's records are written by one task as a piece at its place; the
+    pieces of a tag are then put together in order.  Only the tables of clusters,
+    which the parameters bound, pass through this process.
+    """
+    from pyarrow import fs
+
+    spark, dim = index.records.sparkSession, index.dim
+    ship(spark)
+    base = path if "://" in path else f"file://{path}"
+    store, root = fs.FileSystem.from_uri(base)
+    store.create_dir(f"{root}/.pieces", recursive=True)
+    qs = kernels.codes(index.records, dim)
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(base)
+        for part in kernels.chunks(batches, 1 << 18):
+            tags, cells = kernels.column(part, "tag"), kernels.column(part, "cluster_id")
+            codes, labels = kernels.matrix(part, dim).astype("<i2"), kernels.column(part, "label").astype("u1")
+            for t, c in sorted(set(zip(tags.tolist(), cells.tolist(), strict=True))):
+                own = (tags == t) & (cells == c)
+                first = int(kernels.column(part, "ref_id")[own][0]) & (1 << 64) - 1
+                name = f"{root}/.pieces/{t}-{c:08d}-{first ^ 1 << 63:020d}"
+                for kind, data in (("data", codes[own]), ("labels", labels[own])):
+                    with store.open_output_stream(f"{name}.{kind}") as f:  # the same bytes if the task runs again
+                        f.write(data.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([name])], ["tag", "piece"])
+
+    placed = index.records.repartition("tag", "cluster_id").sortWithinPartitions("tag", "cluster_id", "ref_id")
+    pieces = placed.select("ref_id", "tag", "label", "cluster_id", *qs).mapInArrow(write, "tag int, piece string").distinct().collect()
+    for t, (_, low, high, n) in ix.by_tag(index.clusters, dim, "mn", "mx", "n").items():
+        names = sorted(p["piece"] for p in pieces if p["tag"] == t)
+        for kind, file in (("data", "data_i16"), ("labels", "labels")):
+            with store.open_output_stream(f"{root}/part{t}_{file}.bin") as out:
+                for name in names:
+                    with store.open_input_stream(f"{name}.{kind}") as f:
+                        while block := f.read(1 << 20):
+                            out.write(block)
+        tables = {"offsets": np.concatenate([[0], np.cumsum(n)]).astype("<u4"), "bbox_min_i16": low.astype("<i2"), "bbox_max_i16": high.astype("<i2")}
+        if index.centroids is not None:
+            centers = ix.by_tag(index.centroids, dim, "q")[t][1] / SCALE
+            tables["centroids"] = np.pad(centers, ((0, 0), (0, CENTROID_WIDTH - dim))).astype("<f4")
+        for name, data in tables.items():
+            with store.open_output_stream(f"{root}/part{t}_{name}.bin") as out:
+                out.write(data.tobytes())
+    store.delete_dir(f"{root}/.pieces")
