@@ -159,15 +159,18 @@ def lloyd(records: DataFrame, clusters: int, dim: int, rounds: int) -> DataFrame
 
 
 def positions(assigned: DataFrame) -> DataFrame:
-    """Place of each record in its cluster and its partition, in stable order."""
-    in_tag = Window.partitionBy("tag").orderBy("cluster_id", "ref_id")
+    """Place of each record in its cluster and its partition, in stable order.
+
+    A partition's place is its cluster's plus the sizes of the clusters before, a
+    table of clusters x tags rows; no task sorts a whole partition.
+    """
     in_cluster = Window.partitionBy("tag", "cluster_id").orderBy("ref_id")
-    return assigned.select(
-        "ref_id",
-        "tag",
-        "cluster_id",
-        (F.row_number().over(in_cluster) - 1).alias("pos_in_cluster"),
-        (F.row_number().over(in_tag) - 1).alias("pos_in_tag"),
+    before = Window.partitionBy("tag").orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = assigned.groupBy("tag", "cluster_id").agg(F.count("*").alias("n"))
+    offsets = sizes.select("tag", "cluster_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = assigned.select("ref_id", "tag", "cluster_id", (F.row_number().over(in_cluster) - 1).alias("pos_in_cluster"))
+    return placed.join(F.broadcast(offsets), ["tag", "cluster_id"]).select(
+        "ref_id", "tag", "cluster_id", "pos_in_cluster", (F.col("before") + F.col("pos_in_cluster")).alias("pos_in_tag")
     )
 
 

@@ -171,13 +171,16 @@ def _scan_probes(probes: pa.Table, ids: np.ndarray, q: np.ndarray, dim: int, k:
 
     def run(batches):
         wide = q.astype(np.float64)
-        for part in kernels.chunks(batches):
+        for part in kernels.chunks(batches, 16 * kernels.RECORDS):
             refs, labels, r = kernels.column(part, "ref_id"), kernels.column(part, "label"), kernels.matrix(part, dim)
             cells = kernels.column(part, "tag").astype(np.int64) << 32 | kernels.column(part, "cluster_id")
+            by_cell = np.argsort(cells, kind="stable")
+            known, begin = np.unique(cells[by_cell], return_index=True)
+            lows, highs = np.searchsorted(cell, known), np.searchsorted(cell, known + 1)
             found = []
-            for c in np.unique(cells):
-                lo, hi = np.searchsorted(cell, [c, c + 1])
-                at = np.flatnonzero(cells == c)
+            for i in np.flatnonzero(highs > lows):
+                lo, hi = lows[i], highs[i]
+                at = by_cell[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(by_cell)]
                 for a in range(lo, hi, kernels.QUERIES):
                     mine = of[a : min(hi, a + kernels.QUERIES)]
                     d = kernels.squared(wide[mine], r[at])

@@ -36,7 +36,9 @@ class Index:
             centroids = ix.kmeans(records, params.clusters, dim, rounds or ROUNDS)
         else:
             centroids = ix.lloyd(records, params.clusters, dim, rounds) if rounds else stage(ix.pivots(records, params.clusters), "centroids")
+        order = ["tag", "cluster_id", "ref_id"]  # a cluster's records lie together, and a large cluster is split
         assigned = stage(ix.assign(records, centroids, dim), "assigned")
+        assigned = stage(assigned.repartitionByRange(*order).sortWithinPartitions(*order), "records")
         return Index(assigned, stage(ix.cluster_table(assigned, centroids, dim), "clusters"), dim, centroids)
 
     def resident(self) -> "Index":
