@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import doc_blocks, filesystem, scratch_path, stage
+from .support import doc_blocks, filesystem, scratch_path, stage, stage_arrow
 from .tokens import encoder, with_end
 
 MAGIC = b"TSRTOK02"
@@ -93,13 +93,16 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, lens: np.ndarray) -> np.
 def _tokenize(tokenizer: str, end: int):
     def run(batches):
         enc = encoder(tokenizer)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for i, n, ids in enc.encode_column(batch.column(1)):
                 ids, at = with_end(n, ids, end)
+                rows = np.arange(row, row + len(n))
+                row += len(n)
                 offsets = pa.py_buffer((at * enc.dtype.itemsize).astype(np.int32))
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(ids)])
                 tie = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(tie, pa.int64()), raw], ["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(tie, pa.int64()), raw, pa.array(rows)], ["doc_id", "tie", "ids", "row"])
 
     return run
 
@@ -175,8 +178,7 @@ def write_tokens(
     enc = encoder(tokenizer)
     dtype = enc.dtype.str
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ids = src.mapInArrow(_tokenize(tokenizer, end), "doc_id bigint, tie bigint, ids binary")
-    ids = stage(ids.withColumn("row", F.monotonically_increasing_id()), "ids")
+    ids = stage_arrow(src, _tokenize(tokenizer, end), "doc_id bigint, tie bigint, ids binary, row bigint", "ids")
     # One row per vocabulary id.
     freq = ids.select("ids").mapInArrow(_count(enc.vocab, dtype), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(enc.vocab, np.int64)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, filesystem, scratch_path, scratch_scope, stage, without_keys
+from .support import arrow_text, doc_blocks, filesystem, scratch_path, scratch_scope, stage, stage_arrow, without_keys
 
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
@@ -375,7 +375,7 @@ def find_leaks(
     """(doc_id, item_id, cosine, lcs_ratio, answer_ratio) of confirmed leaks."""
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    words = stage(src.mapInArrow(_hash_texts, "doc_id bigint, words binary"), "words")
+    words = stage_arrow(src, _hash_texts, "doc_id bigint, words binary", "words")
     _, vectors = fit(words)
     items = (
         benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, free_name, list_column, scratch_scope, stage, without_ids
+from .support import arrow_text, doc_blocks, free_name, list_column, scratch_scope, stage_arrow, stage_small, without_ids
 
 BANDS, ROWS, BITS, SHINGLE = 32, 5, 2, 5
 PERMS = BANDS * ROWS
@@ -132,7 +132,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     spec = "doc_id bigint, sh array<bigint>"
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     if ids.count() > SLOTS // 8:
-        return stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(None), spec), "sets")
+        return stage_arrow(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), _sets(None), spec, "sets")
     maps = (
         ids.select(slot.alias("slot"))
         .groupBy((F.col("slot") / 32768).cast("bigint").alias("part"))
@@ -142,13 +142,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     for r in maps.toLocalIterator():  # at most SLOTS / 32768 maps of 4 KB
         bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     picked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
-    return stage(picked.mapInArrow(_sets(bits), spec), "sets")
+    return stage_arrow(picked, _sets(bits), spec, "sets")
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, s0.., bands) of (doc_id, text)."""
+    """(doc_id, n_shingles, fp1, fp2, s0.., bands) of (doc_id, text), staged."""
     sig = ", ".join(f"s{k} bigint" for k in range(_LONGS))
-    return docs.mapInArrow(_sketch, f"doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, {sig}, bands array<bigint>")
+    return stage_arrow(docs, _sketch, f"doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, {sig}, bands array<bigint>", "sketches")
 
 
 def _estimate(a: str, b: str):
@@ -186,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
     distributed; each round's labels are written out, so lineage is one round.
     """
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
+    labels = stage_small(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
@@ -195,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         step = labels.join(near, "node", "left").select("node", "comp", F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = stage(step.join(jump, "next", "left").select("node", "comp", F.least("next", "far").alias("new")), "labels")
+        new = stage_small(step.join(jump, "next", "left").select("node", "comp", F.least("next", "far").alias("new")), "labels")
         changed = new.where("new < comp").limit(1).count()
         labels = new.select("node", F.col("new").alias("comp"))
         if not changed:
@@ -214,7 +214,7 @@ def _able(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame:
     while True:
         wide = left.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
         able = left.join(wide, "s").groupBy("doc_id", "comp", "n_shingles").agg(F.count("*").alias("shared"))
-        able = stage(able.where(den * F.col("shared") >= num * F.col("n_shingles")), "able")
+        able = stage_small(able.where(den * F.col("shared") >= num * F.col("n_shingles")), "able")
         now = able.count()
         if now == n or not now:
             return able
@@ -234,12 +234,12 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
             "key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")
         )
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        waiting = stage(placed.join(split, "key"), "waiting")
-        places = stage(waiting.select("doc_id", "comp").distinct(), "places")
+        waiting = stage_small(placed.join(split, "key"), "waiting")
+        places = stage_small(waiting.select("doc_id", "comp").distinct(), "places")
         if sets is None:
             sets = shingle_sets(docs, places.select("doc_id"))
         able = _able(sets, places, num, den)
-        open_ = stage(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
+        open_ = stage_small(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
         per = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         size = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         if not size["pairs"]:
@@ -258,9 +258,9 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
             leads = open_.groupBy("key").agg(F.max(share)["doc_id"].alias("doc_id"))
             found = open_.join(leads, ["key", "doc_id"]).alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & near)
         pairs = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "across")
+        pairs = stage_small(pairs.join(tested, ["a", "b"], "left_anti"), "across")
         if pairs.limit(1).count():
-            more = stage(confirm(pairs, sets, num, den), "links")
+            more = stage_small(confirm(pairs, sets, num, den), "links")
             if more.limit(1).count():
                 links, tested = links.union(more), tested.union(pairs)
                 comp = components(links)
@@ -271,7 +271,7 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
         # the star added nothing: the rest is paired in full, however much it is
         rest = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & good)
         rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        more = stage(confirm(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), sets, num, den), "links")
+        more = stage_small(confirm(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), sets, num, den), "links")
         return components(links.union(more)) if more.limit(1).count() else comp
 
 
@@ -279,7 +279,7 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id",
     """(doc_id, n_shingles, component_id) per row of ``docs``, linking documents
     whose shingle sets have a similarity of num/den or more."""
     with scratch_scope(docs.sparkSession) as scratch:
-        out = _link(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den)
+        out = stage_small(_link(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den), "linked")
         scratch.release(out)
     return out
 
@@ -293,13 +293,13 @@ def _classes(sketches: DataFrame) -> DataFrame:
     rows = sketches.select("doc_id", "n_shingles", "fp1", "fp2")
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     copies = rows.where(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = stage(copies.where("copies > 1"), "copies")
+    copies = stage_small(copies.where("copies > 1"), "copies")
     order = ["copies", "fp1", "fp2"]
     heavy = copies.orderBy(F.desc("copies"), "fp1", "fp2").limit(HEAVY)
     key = ["fp1", "fp2"]
     known = rows.where(usable).join(F.broadcast(heavy), key, "left")
     light = copies.join(F.broadcast(heavy.select(*order)), order, "left_anti").select(*key, F.col("rep").alias("own"))
-    return stage(
+    return stage_small(
         known.where("rep IS NOT NULL")
         .select("doc_id", "n_shingles", "rep")
         .unionByName(known.where("rep IS NULL").drop("rep").join(light, key, "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("rep")))
@@ -309,7 +309,7 @@ def _classes(sketches: DataFrame) -> DataFrame:
 
 
 def _link(src: DataFrame, num: int, den: int) -> DataFrame:
-    sketches = stage(sketch(src), "sketches")
+    sketches = sketch(src)
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     members = _classes(sketches)
     others = members.where("rep <> doc_id").select(F.col("doc_id").alias("other")).distinct()
@@ -317,10 +317,10 @@ def _link(src: DataFrame, num: int, den: int) -> DataFrame:
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
-    buckets = stage(banded.join(shared, "key"), "buckets")
+    buckets = stage_small(banded.join(shared, "key"), "buckets")
     sig = reps.drop("fp1", "fp2")
 
-    star = stage(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    star = stage_small(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     tested = (
         star.join(sig.alias("y"), F.col("b") == F.col("y.doc_id"))
         .join(sig.alias("x"), F.col("a") == F.col("x.doc_id"))
@@ -328,9 +328,9 @@ def _link(src: DataFrame, num: int, den: int) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    tested = stage(tested, "pairs")
-    ids = stage(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    links = stage(confirm(tested, shingle_sets(src, ids), num, den), "links")
+    tested = stage_small(tested, "pairs")
+    ids = stage_small(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    links = stage_small(confirm(tested, shingle_sets(src, ids), num, den), "links")
     comp = _across(buckets, sig, None, src, links, star, num, den)
     return members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")
@@ -340,9 +340,9 @@ def _link(src: DataFrame, num: int, den: int) -> DataFrame:
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without documents that a smaller id of their component stands for."""
     with scratch_scope(docs.sparkSession) as scratch:
-        linked = stage(link(docs, num, den, id_col, text), "linked")
-        gone = stage(linked.where("component_id < doc_id").select("doc_id").distinct(), "gone")
-        again = stage(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+        linked = link(docs, num, den, id_col, text)
+        gone = stage_small(linked.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+        again = stage_small(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
         out = without_ids(docs, id_col, gone)
         if again.limit(1).count():
             out = _one_row_each(out, id_col, text, again)

@@ -28,10 +28,11 @@ import zlib
 from bisect import bisect_left, insort
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import stage
+from .support import stage, stage_arrow
 from .tokens import encoder, with_end
 
 SEQUENCE = 2048
@@ -196,6 +197,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def _pieces(tokenizer: str, size: int, separator: int):
     def run(batches):
         enc = encoder(tokenizer)
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             docs = batch.column(0)
             for i, n, ids in enc.encode_column(batch.column(1)):
@@ -209,10 +211,11 @@ def _pieces(tokenizer: str, size: int, separator: int):
                         for col, v in zip(out, (doc, piece, start, length, crc), strict=True):
                             col.append(v)
                         start, length, piece = start + length, size, piece + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                rows = range(row, row + len(out[0]))
+                row += len(rows)
+                cols = [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out)]
+                cols += [pa.array([task] * len(rows), pa.int32()), pa.array(rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "row"])
 
     return run
 
@@ -227,10 +230,8 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    made = src.mapInArrow(
-        _pieces(tokenizer, size, separator), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    )
-    pieces = stage(made.withColumn("task", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    spec = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, row bigint"
+    pieces = stage_arrow(src, _pieces(tokenizer, size, separator), spec, "pieces")
     per_task = stage(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "histogram")
     # One row per length, at most ``size`` of them.
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path, scratch_scope, ship, stage  # noqa: F401  (used by the operators)
+from ..runtime import filesystem, scratch_path, scratch_scope, ship, stage, stage_arrow, stage_small  # noqa: F401  (used by the operators)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -28,13 +28,6 @@ def bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def filesystem(uri: str):
-    """(file system, path) of an address in the shared folder."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def arrow_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of an Arrow string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
