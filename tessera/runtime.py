@@ -27,6 +27,8 @@ _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 #: Bytes of a row group that a task writes.
 _ROW_GROUP = 16 << 20
+#: Partitions per core up to which small tables are written by Python.
+_TASKS_PER_CORE = 16
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -130,7 +132,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
 
 def stage_small(df: DataFrame, name: str) -> DataFrame:
     """``stage`` for tables of a few megabytes a task: without Hadoop's committer,
-    which takes longer than their rows."""
+    which takes longer than their rows.  Where partitions are far more than cores,
+    starting Python for each takes longer still, and the committer is used."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) > _TASKS_PER_CORE * spark.sparkContext.defaultParallelism:
+        return stage(df, name)
     return stage_arrow(df, lambda batches: batches, df.schema, name)
 
 
@@ -160,7 +166,7 @@ def stage_arrow(df: DataFrame, fn, schema: str | StructType, name: str) -> DataF
         store, root = filesystem(path)
         part = f"{root}/.part-{ctx.partitionId():08d}.{ctx.taskAttemptId()}.{uuid.uuid4().hex}"
         held, size, rows = [], 0, 0
-        with store.open_output_stream(part) as sink, pq.ParquetWriter(sink, first.schema, compression="zstd") as out:
+        with store.open_output_stream(part) as sink, pq.ParquetWriter(sink, first.schema, compression="zstd", use_dictionary=False) as out:
             for batch in chain([first], made):
                 held.append(batch)
                 size, rows = size + batch.nbytes, rows + batch.num_rows
