@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from itertools import chain
 from pathlib import Path
@@ -26,7 +27,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 #: Bytes of a row group that a task writes.
-_ROW_GROUP = 16 << 20
+_ROW_GROUP = 4 << 20
 #: Partitions per core up to which small tables are written by Python.
 _TASKS_PER_CORE = 16
 
@@ -130,6 +131,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
             outer.folders += own.folders
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker outlives its tasks, and
+    what one task needed once would else be held beside the next one's needs."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stage_small(df: DataFrame, name: str) -> DataFrame:
     """``stage`` for tables of a few megabytes a task: without Hadoop's committer,
     which takes longer than their rows.  Where partitions are far more than cores,
@@ -176,6 +185,8 @@ def stage_arrow(df: DataFrame, fn, schema: str | StructType, name: str) -> DataF
             if held:
                 out.write_table(pa.Table.from_batches(held))
         store.move(part, f"{root}/part-{ctx.partitionId():08d}.parquet")
+        held = first = batch = None
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
 
     df.mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
