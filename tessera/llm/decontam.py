@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .support import arrow_text, doc_blocks, filesystem, scratch_path, scratch_scope, stage, stage_arrow, without_keys
+from .support import arrow_text, doc_blocks, filesystem, give_back, scratch_path, scratch_scope, stage, stage_arrow, without_keys
 
 TERMS = 1 << 16
 DIMS, RANK, EXTRA = 1024, 128, 32
@@ -51,7 +51,7 @@ LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 8
 BLOCK = 2048
 #: Bytes of hashed words that are held against all blocks of items.
-SPAN = 32 << 20
+SPAN = 4 << 20
 
 
 def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +130,7 @@ def _sketch(weight: np.ndarray):
                 rows /= np.maximum(norm, 1e-9)[:, None]
                 total += rows.T @ (rows @ omega)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        give_back()
 
     return run
 
@@ -145,7 +146,8 @@ def _add_parts(batches):
 def fit(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(term weights, term vectors) of the corpus: TF-IDF and whitened latent space.
 
-    Both have one row per hashed term, so their size is fixed.
+    Both have one row per hashed term, the vectors one more of zeros, so their size
+    is fixed.
     """
     df = words.select("words").mapInArrow(_document_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(TERMS + 1)
@@ -172,7 +174,7 @@ def fit(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     keep = sigma > 1e-4 * max(sigma.max(), 1e-12)
     basis = np.zeros((DIMS, RANK))
     basis[:, keep] = u[:, :RANK][:, keep] / sigma[keep]
-    return weight, (basis[dim] * weight[:, None]).astype(np.float32)
+    return weight, np.concatenate([basis[dim] * weight[:, None], np.zeros((1, RANK))]).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -295,18 +297,18 @@ def _search(paths: list[str], vectors: np.ndarray, cosine: float):
                     with store.open_input_stream(name) as f:
                         known[path] = pickle.loads(f.read())
                 yield from _search_block(held, *known[path], vectors, cosine)
+        known.clear()
+        give_back()
 
     return run
 
 
 def _search_block(batches: list[pa.RecordBatch], items: list, item_vec: np.ndarray, vectors: np.ndarray, cosine: float):
     runs = run_table(items)
-    zero = np.zeros((1, RANK), np.float32)
     gates = []
     for _, keys, *_ in runs:
         gates.append(np.zeros(1 << 20, bool))
         gates[-1][keys >> np.uint64(44)] = True
-    table = np.concatenate([vectors, zero])
     item_t = np.ascontiguousarray(item_vec.T)
     for batch in batches:
         found: list[tuple] = []
@@ -320,7 +322,7 @@ def _search_block(batches: list[pa.RecordBatch], items: list, item_vec: np.ndarr
             idx[np.arange(len(h)) + np.repeat(slot0 - start, n)] = h >> np.uint32(16)
             sums = np.empty((len(idx) // STEP, RANK), np.float32)
             for a in range(0, len(sums), 512):
-                part = table[idx[a * STEP : (a + 512) * STEP]]
+                part = vectors[idx[a * STEP : (a + 512) * STEP]]
                 part.reshape(-1, STEP, RANK).sum(axis=1, out=sums[a : a + 512])
             doc = np.repeat(np.arange(len(n)), steps)
             pair = sums.copy()

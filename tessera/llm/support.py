@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import filesystem, scratch_path, scratch_scope, ship, stage, stage_arrow, stage_small  # noqa: F401  (used by the operators)
+from ..runtime import filesystem, give_back, scratch_path, scratch_scope, ship, stage, stage_arrow, stage_small  # noqa: F401  (used by the operators)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)

@@ -69,6 +69,7 @@ class Encoder:
         odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
         #: A control byte that stands in no longer token, so nothing merges across it.
         self._wall = lone[0] if self.by_piece and lone and not any(model.get(k) for k in odd) else None
+        del spec, model, within
         if self._wall is not None:
             self._wall_id = self.tokenizer.token_to_id(chr(_CHAR[self._wall]))
             self._model = self.tokenizer.model
