@@ -175,7 +175,7 @@ def stage_arrow(df: DataFrame, fn, schema: str | StructType, name: str) -> DataF
         store, root = filesystem(path)
         part = f"{root}/.part-{ctx.partitionId():08d}.{ctx.taskAttemptId()}.{uuid.uuid4().hex}"
         held, size, rows = [], 0, 0
-        with store.open_output_stream(part) as sink, pq.ParquetWriter(sink, first.schema, compression="zstd", use_dictionary=False) as out:
+        with store.open_output_stream(part) as sink, pq.ParquetWriter(sink, first.schema, compression="zstd", compression_level=3, use_dictionary=False) as out:
             for batch in chain([first], made):
                 held.append(batch)
                 size, rows = size + batch.nbytes, rows + batch.num_rows
