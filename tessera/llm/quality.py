@@ -56,9 +56,10 @@ RULES = (
 def _repeat_words(ws: Column) -> Column:
     """Words inside 5-word windows that occur twice or more.
 
-    Windows are compared by 64-bit hash; texts whose windows are all distinct
-    leave after one hash-set pass, others sort (hash, place) once, so the cost
-    is n log n however often a window repeats.
+    Windows are compared by a 64-bit hash of their words' hashes; texts whose
+    windows are all distinct leave after one hash-set pass, others sort (hash,
+    place) once, so the cost is n log n however often a window repeats.  Five
+    reads by place make a window: a slice would copy the whole array each time.
     """
 
     def covered(places: Column) -> Column:
@@ -85,8 +86,12 @@ def _repeat_words(ws: Column) -> Column:
             bind(F.sort_array(pairs), repeated)
         )
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - 4), lambda i: F.xxhash64(F.slice(ws, i, F.lit(5))))
-    return F.when(F.size(ws) < 6, F.lit(0).cast("bigint")).otherwise(bind(windows, search))
+    def windows(h: Column) -> Column:
+        starts = F.slice(h, F.lit(1), F.size(h) - 4)
+        return bind(F.transform(starts, lambda x, k: F.xxhash64(x, *[F.get(h, k + i) for i in range(1, 5)])), search)
+
+    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+    return F.when(F.size(ws) < 6, F.lit(0).cast("bigint")).otherwise(bind(hashes, windows))
 
 
 def _length(x: Column) -> Column:
@@ -94,7 +99,7 @@ def _length(x: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """One struct with every measure of ``text``."""
+    """One struct with every measure of ``text``; each count is made once, ratios from the counts."""
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -102,38 +107,53 @@ def measures(text: Column) -> Column:
     def size(x: Column) -> Column:
         return F.size(x).cast("bigint")
 
+    def of_counts(c: Column) -> Column:
+        return F.struct(
+            *[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")],
+            ratio(c["word_chars"], c["n_words"]).alias("mean_word_length"),
+            ratio(c["n_symbols"], c["n_words"]).alias("symbol_ratio"),
+            ratio(c["marks"], c["n_words"]).alias("exclamation_ratio"),
+            ratio(c["capitals"], c["letters"]).alias("capital_ratio"),
+            ratio(c["stops"], c["n_words"]).alias("stop_word_ratio"),
+            ratio(c["doubled"], c["n_words"]).alias("doubled_word_ratio"),
+            ratio(c["n_dup_lines"], c["n_lines"]).alias("duplicate_line_ratio"),
+            ratio(c["bullets"], c["n_lines"]).alias("bullet_line_ratio"),
+            ratio(c["dots"], c["n_lines"]).alias("ellipsis_line_ratio"),
+        )
+
     def of_words(t: Column, ws: Column) -> Column:
         n = size(ws)
-        chars = _length(F.regexp_replace(t, SPACE, ""))
+        chars = _length(F.array_join(ws, ""))
         symbols = _length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))
         letters = _length(F.regexp_replace(t, r"[^\p{L}]+", ""))
         capitals = _length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
         marks = _length(F.regexp_replace(t, r"[^!]+", ""))
-        stops = size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS)))
+        # lower case never has fewer code points, so longer words need none
+        stops = size(F.filter(ws, lambda w: (F.length(w) <= max(map(len, STOP_WORDS))) & F.lower(w).isin(STOP_WORDS)))
         doubled = size(F.filter(ws, lambda w, k: (k > 0) & (w == F.get(ws, k - 1))))
 
         def of_lines(ls: Column) -> Column:
             m = size(ls)
             dup = m - size(F.array_distinct(ls))
             bullets = size(F.filter(ls, lambda x: x.rlike(r"^\s*(?:[-*•]|\d+[.)])\s")))
-            dots = size(F.filter(ls, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$")))
-            return F.struct(
+            # the plain search spares most lines the pattern's tries at each space
+            dotted = F.filter(ls, lambda x: (F.contains(x, F.lit("...")) | F.contains(x, F.lit("…"))) & x.rlike(r"(?:\.\.\.|…)\s*$"))
+            counts = F.struct(
                 n.alias("n_words"),
                 chars.alias("word_chars"),
                 symbols.alias("n_symbols"),
                 dup.alias("n_dup_lines"),
                 _repeat_words(ws).alias("n_repeat_words"),
                 m.alias("n_lines"),
-                ratio(chars, n).alias("mean_word_length"),
-                ratio(symbols, n).alias("symbol_ratio"),
-                ratio(marks, n).alias("exclamation_ratio"),
-                ratio(capitals, letters).alias("capital_ratio"),
-                ratio(stops, n).alias("stop_word_ratio"),
-                ratio(doubled, n).alias("doubled_word_ratio"),
-                ratio(dup, m).alias("duplicate_line_ratio"),
-                ratio(bullets, m).alias("bullet_line_ratio"),
-                ratio(dots, m).alias("ellipsis_line_ratio"),
+                letters.alias("letters"),
+                capitals.alias("capitals"),
+                marks.alias("marks"),
+                stops.alias("stops"),
+                doubled.alias("doubled"),
+                bullets.alias("bullets"),
+                size(dotted).alias("dots"),
             )
+            return bind(counts, of_counts)
 
         return bind(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of_lines)
 
