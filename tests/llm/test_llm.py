@@ -42,6 +42,13 @@ def test_quality_measures_and_filter(docs):
     assert quality.filter_documents(docs.where("false")).count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    distinct = " ".join(map(str, range(200_000)))
+    rows = [(1, distinct), (2, distinct + " " + distinct), (3, "x" * 3_000_000)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "quality.measures.*").collect()
+    assert [(r["n_words"], r["n_repeat_words"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(200_000, 0), (400_000, 400_000), (1, 0)]
+
+
 @pytest.mark.parametrize("limit,per_host", [(1000, 4096), (1000, 0), (0, 4096)])
 def test_line_dedup(spark, monkeypatch, limit, per_host):
     monkeypatch.setattr(linedup, "HOST_LINES", per_host)
