@@ -239,7 +239,10 @@ def _across(buckets: DataFrame, sig: DataFrame, sets: DataFrame | None, docs: Da
         if sets is None:
             sets = shingle_sets(docs, places.select("doc_id"))
         able = _able(sets, places, num, den)
-        open_ = stage_small(waiting.drop("comp").join(able, "doc_id").join(sig.drop("n_shingles"), "doc_id"), "open")
+        # a row a document until its sketch is found, and only then one for each of its buckets
+        keys = waiting.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        whole = able.join(keys, "doc_id").join(sig.drop("n_shingles"), "doc_id")
+        open_ = stage_small(whole.select(F.explode("keys").alias("key"), *[c for c in whole.columns if c != "keys"]), "open")
         per = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         size = per.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         if not size["pairs"]:

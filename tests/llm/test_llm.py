@@ -123,6 +123,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, many):
     assert sorted(r["doc_id"] for r in neardup.keep_one(df, 85, 100).collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
+def test_near_duplicates_join_documents_not_their_places_in_buckets(spark, monkeypatch):
+    plans, write = [], neardup.stage_small
+
+    def seen(df, name):
+        if name == "open":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "stage_small", seen)
+    rows = edited(3, 40, 14)
+    neardup.link(spark.createDataFrame(rows, "doc_id bigint, text string"), 85, 100).collect()
+    assert plans
+    for plan in plans:  # rows are dealt to buckets above all joins
+        assert 0 <= plan.find("Generate explode(keys") < plan.find("Join")
+
+
 def test_near_duplicates_odd_rows(docs):
     got = [(r["doc_id"], r["component_id"]) for r in neardup.link(docs).collect()]
     assert Counter(got) == Counter((i, i) for i, _ in TEXTS)
