@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Rows of records, and of queries, per product.
 RECORDS, QUERIES = 4096, 1024
+#: Rows of queries held against all boxes at once, distances computed at once, and rows read at once of a shuffle.
+BOUNDS, CELLS, ROWS = 64, 1 << 19, 1 << 15
 
 
 def codes(df, dim: int, prefix: str = "q") -> list[str]:
@@ -63,13 +65,28 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def before(q: np.ndarray) -> np.ndarray:
+    """Rows whose product with ``beside`` of others is their squared distance, exactly."""
+    return np.column_stack([-2.0 * q, np.einsum("ij,ij->i", q, q), np.ones(len(q))])
+
+
+def beside(r: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.column_stack([r, np.ones(len(r)), np.einsum("ij,ij->i", r, r)]).T)
+
+
 def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances from the rows of ``q`` to boxes; an inverted box is far from all."""
-    out = np.zeros((len(q), len(low)))
+    out, d = np.zeros((len(q), len(low))), np.empty((len(q), len(low)))
+    low, high = low.T.copy(), high.T.copy()
+    inverted = np.flatnonzero((low > high).any(axis=0))
     for i in range(q.shape[1]):
         x = q[:, i, None]
-        d = np.maximum(np.maximum(x - high[:, i], low[:, i] - x), 0.0)
-        out += d * d
+        np.clip(x, low[i], high[i], out=d)
+        np.subtract(x, d, out=d)
+        if len(inverted):
+            d[:, inverted] = np.maximum(np.maximum(x - high[i, inverted], low[i, inverted] - x), 0.0)
+        np.multiply(d, d, out=d)
+        out += d
     return out
 
 
@@ -86,3 +103,22 @@ def nearest(d: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = N
     first = np.searchsorted(row, row)  # where the row's places begin
     keep = np.arange(len(row)) - first < k
     return row[keep], col[keep]
+
+
+def first_of(row: np.ndarray, col: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` places of each row, whose places lie together."""
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def nearer(d: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` without places that reach their row's ``limit`` in single precision."""
+    if d.shape[1] > k and limit.max() > 1e19:  # nothing to hold them against yet
+        row, col = nearest(d, ids, k)
+    else:
+        row, col = np.nonzero(d < limit[:, None])
+    near = d[row, col].astype(np.float32)
+    below = near < limit[row]
+    row, col, near = row[below], col[below], near[below]
+    order = np.lexsort((ids[col], near, row))
+    return first_of(row[order], col[order], k)

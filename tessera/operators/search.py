@@ -108,38 +108,70 @@ def vote(queries: DataFrame, neighbours: DataFrame, p: SearchParams) -> DataFram
     return out.select("qid", "tag", score.alias("score"), (score < p.approve_below).alias("approved"), "sum_dist", "sum_id")
 
 
-def _ranks(known: dict[int, tuple], dim: int, upto: int | None, repair: int | None = None):
-    """Clusters of each query's tag by (lower bound, number), the first ``upto``
-    of them; with ``repair``, those from that rank on which a repair may read."""
+def _bounds(part: pa.Table, known: dict[int, tuple], dim: int, q: str = "q"):
+    """Blocks of a table's rows with the lower bounds of their tag's clusters: (rows, tag, bounds)."""
+    tags, q = kernels.column(part, "tag"), kernels.matrix(part, dim, q)
+    for t in np.unique(tags).tolist():
+        if t in known:
+            own, low, high = np.flatnonzero(tags == t), known[t][1], known[t][2]
+            for a in range(0, len(own), kernels.BOUNDS):
+                at = own[a : a + kernels.BOUNDS]
+                yield at, t, kernels.box_bounds(q[at], low, high).astype(np.float32)
+
+
+def _ranks(known: dict[int, tuple], dim: int, upto: int | None):
+    """Clusters of each query's tag by (lower bound, number), the first ``upto`` of them."""
 
     def run(batches):
         for part in kernels.chunks(batches, kernels.QUERIES):
-            ids, tags, q = kernels.column(part, "qid"), kernels.column(part, "tag"), kernels.matrix(part, dim)
-            for t in np.unique(tags).tolist():
-                if t not in known:
-                    continue
-                number, low, high, n = known[t]
-                own = np.flatnonzero(tags == t)
-                for a in range(0, len(own), kernels.QUERIES):
-                    at = own[a : a + kernels.QUERIES]
-                    lb = kernels.box_bounds(q[at], low, high).astype(np.float32)
-                    order = np.argsort(lb, axis=1, kind="stable")[:, :upto]
-                    lb = np.take_along_axis(lb, order, axis=1)
-                    rank = np.broadcast_to(np.arange(order.shape[1]), order.shape)
-                    keep = np.ones(order.shape, bool)
-                    if repair is not None:
-                        hit = np.nan_to_num(part.column("hit").to_numpy().astype(np.float64)[at], nan=-1.0)[:, None]
-                        keep = (rank >= repair) & (lb < kernels.column(part, "kth")[at, None]) & ((hit < 0) | (rank == repair))
-                    row, col = np.nonzero(keep)
-                    c = order[row, col]
-                    cols = [ids[at][row], np.full(len(row), t, np.int32), number[c], n[c], lb[row, col], rank[row, col].astype(np.int32)]
-                    names = ["qid", "tag", "cluster_id", "n", "lb", "rank"]
-                    yield from pa.Table.from_arrays([pa.array(x) for x in cols], names).to_batches(1 << 16)
+            ids = kernels.column(part, "qid")
+            for at, t, lb in _bounds(part, known, dim):
+                number, n = known[t][0], known[t][3]
+                row, c = kernels.nearest(lb, np.arange(lb.shape[1]), upto or lb.shape[1])
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                cols = [ids[at][row], np.full(len(row), t, np.int32), number[c], n[c], lb[row, c], rank.astype(np.int32)]
+                names = ["qid", "tag", "cluster_id", "n", "lb", "rank"]
+                yield from pa.Table.from_arrays([pa.array(x) for x in cols], names).to_batches(1 << 16)
+
+    return run
+
+
+def _lists(known: dict[int, tuple], dim: int, begin: int, upto: int | None):
+    """Per query the clusters of its tag from rank ``begin`` on, as lists of numbers, sizes and
+    bounds in order: up to rank ``upto``, or those nearer than its ``kth``, where one that
+    was ended by a very close neighbour (``hit``) reads one at most."""
+
+    def run(batches):
+        for part in kernels.chunks(batches, kernels.QUERIES):
+            whole = part.num_rows
+            hit = kth = None
+            if upto is None:
+                hit, kth = part.column("hit").is_valid().to_numpy(), kernels.column(part, "kth")
+            found = []
+            for at, t, lb in _bounds(part, known, dim, "code"):
+                if upto is None:
+                    row, c = np.nonzero(lb < kth[at, None])
+                    order = np.lexsort((c, lb[row, c], row))
+                    row, c = row[order], c[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    keep = (rank >= begin) & (~hit[at][row] | (rank == begin))
+                    row, c = row[keep], c[keep]
+                else:
+                    row, c = kernels.nearest(lb, np.arange(lb.shape[1]), upto)
+                found.append((at[row], known[t][0][c], known[t][3][c], lb[row, c]))
+            empty = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            of, number, n, lb = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+            order = np.argsort(of, kind="stable")
+            ends = pa.array(np.searchsorted(of[order], np.arange(whole + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (number, n, lb)]
+            cols = [part.column("qid").combine_chunks(), part.column("tag").combine_chunks(), part.column("code").combine_chunks(), *lists]
+            yield from pa.Table.from_arrays(cols, ["qid", "tag", "code", "cells", "sizes", "lbs"]).to_batches(1 << 12)
 
     return run
 
 
 _RANKED = "qid bigint, tag int, cluster_id int, n bigint, lb float, rank int"
+_LISTED = "qid bigint, tag int, code array<smallint>, cells array<int>, sizes array<bigint>, lbs array<float>"
 
 
 def rank_clusters(queries: DataFrame, clusters: DataFrame, dim: int, upto: int | None = None) -> DataFrame:
@@ -150,10 +182,7 @@ def rank_clusters(queries: DataFrame, clusters: DataFrame, dim: int, upto: int |
     the tasks; queries stay where they are.
     """
     ship(queries.sparkSession)
-    return _ranked(queries, by_tag(clusters, dim, "mn", "mx", "n"), dim, upto)
-
-
-def _ranked(queries: DataFrame, known: dict[int, tuple], dim: int, upto: int | None) -> DataFrame:
+    known = by_tag(clusters, dim, "mn", "mx", "n")
     return queries.select("qid", "tag", *kernels.codes(queries, dim)).mapInArrow(_ranks(known, dim, upto), _RANKED)
 
 
@@ -196,42 +225,121 @@ def _scan_probes(probes: pa.Table, ids: np.ndarray, q: np.ndarray, dim: int, k:
     return run
 
 
-def _candidates(queries: DataFrame, probes: DataFrame, records: DataFrame, dim: int, k: int, not_self: bool) -> DataFrame:
-    """(qid, rank, ref_id, label, dist, d) of the best records of every probe, for one block of queries."""
-    q = queries.select("qid", *kernels.codes(queries, dim)).toArrow().sort_by("qid")  # one block
-    listed = probes.select("qid", "tag", "cluster_id", "rank").toArrow()  # its probes
-    scan = _scan_probes(listed, kernels.column(q, "qid"), kernels.matrix(q, dim).astype(np.int16), dim, k, not_self)
-    schema = "qid bigint, rank int, ref_id bigint, label int, dist bigint, d float"
-    return records.select("ref_id", "tag", "label", "cluster_id", *kernels.codes(records, dim)).mapInArrow(scan, schema)
+_FOUND = "qid bigint, rank int, ref_id bigint, label int, dist bigint, d float"
 
 
-def _cut_after_hit(cand: DataFrame, early: int) -> DataFrame:
-    """Candidates up to the first rank that holds a very close neighbour."""
-    hit = F.min(F.when(F.col("d") < early, F.col("rank"))).over(Window.partitionBy("qid"))
-    return cand.withColumn("hit", hit).where(F.col("hit").isNull() | (F.col("rank") <= F.col("hit")))
+def _candidates(listed: DataFrame, probes: DataFrame, records: DataFrame, dim: int, k: int, not_self: bool) -> DataFrame:
+    """``_FOUND`` of the best records of every probe, for one block of queries that goes to the tasks."""
+    q = listed.select("qid", "code").toArrow().sort_by("qid")  # one block
+    asked = probes.select("qid", "tag", "cluster_id", "rank").toArrow()  # its probes
+    scan = _scan_probes(asked, kernels.column(q, "qid"), kernels.matrix(q, dim, "code").astype(np.int16), dim, k, not_self)
+    return records.select("ref_id", "tag", "label", "cluster_id", *kernels.codes(records, dim)).mapInArrow(scan, _FOUND)
 
 
-def _kept(cand: DataFrame, k: int) -> DataFrame:
-    """Per query the k best as an array of (d, rank, ref_id, label, dist), and the hit rank."""
-    top = _top(cand, k, ["d", "rank", "ref_id"])
-    return top.groupBy("qid").agg(
-        F.sort_array(F.collect_list(F.struct("d", "rank", "ref_id", "label", "dist"))).alias("top"),
-        F.max("hit").alias("hit"),
-    )
+def _scan_pieces(dim: int, k: int, not_self: bool):
+    """Rows in the order of pieces, a piece's records before its probes: per probe, the
+    ``k`` nearest of the piece's records that are nearer than the probe's ``kth``."""
+    names = ["qid", "rank", "ref_id", "label", "dist", "d"]
+    more = k + not_self  # the query itself may be among them
+
+    def run(batches):
+        current, held, r = None, [], None
+        for part in kernels.chunks(batches, kernels.ROWS):
+            ids, labels, ranks, kths = (kernels.column(part, c) for c in ("id", "label", "rank", "kth"))
+            kind, q = kernels.column(part, "kind"), kernels.matrix(part, dim, "code")
+            keys = np.stack([kernels.column(part, c) for c in ("tag", "cluster_id", "piece", "lane")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (kind[1:] != kind[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                key = tuple(keys[:, lo].tolist())
+                if key != current:
+                    current, held, r = key, [], None
+                if kind[lo] == 0:
+                    held.append((ids[lo:hi], labels[lo:hi], q[lo:hi]))
+                    r = None
+                    continue
+                if not held:
+                    continue
+                if r is None:
+                    refs, own, r = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held, r = [(refs, own, r)], kernels.beside(r)
+                step = max(1, kernels.CELLS // len(refs))
+                for a in range(lo, hi, step):
+                    b = min(hi, a + step)
+                    d = kernels.before(q[a:b]) @ r
+                    row, col = kernels.nearer(d, refs, more, kths[a:b])
+                    if not_self:
+                        row, col = kernels.first_of(*(x[ids[a:b][row] != refs[col]] for x in (row, col)), k)
+                    dist = d[row, col].astype(np.int64)
+                    found.append((ids[a:b][row], ranks[a:b][row], refs[col], own[col], dist, dist.astype(np.float32)))
+            if found:
+                cols = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield from pa.Table.from_arrays(cols, names).to_batches(1 << 16)
+
+    return run
+
+
+def _dealt(probes: DataFrame, records: DataFrame, dim: int, k: int, not_self: bool, p: SearchParams) -> DataFrame:
+    """``_candidates`` of any number of queries: probes and records meet by cluster, in one shuffle.
+
+    A cluster's records are cut into pieces and its probes into lanes of bounded size, so
+    none is the work of one task; a probe goes to all pieces of its cluster, a record to
+    all lanes.  The table of cuts has clusters x tags rows, which the parameters bound.
+    """
+    cell = ["tag", "cluster_id"]
+    asked = probes.groupBy(*cell).agg(F.ceil(F.count("*") / p.lane).cast("int").alias("lanes"))
+    sizes = records.groupBy(*cell).agg(F.ceil(F.count("*") / p.piece).cast("int").alias("pieces"))
+    cuts = F.broadcast(stage(asked.join(sizes, cell), "cuts"))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    code = kernels.codes(records, dim)
+    code = (F.array(*code) if len(code) > 1 else F.col(code[0])).cast("array<smallint>")
+    held = records.select(*cell, F.col("ref_id").alias("id"), "label", code.alias("code")).join(cuts, cell)
+    held = held.select(*cell, part("id", "pieces").alias("piece"), spread("lanes").alias("lane"), F.lit(0).alias("kind"), "id", "label",
+                       F.lit(0).alias("rank"), F.lit(0).cast("float").alias("kth"), "code")
+    sought = probes.select(*cell, F.col("qid").alias("id"), "rank", "kth", "code").join(cuts, cell)
+    sought = sought.select(*cell, spread("pieces").alias("piece"), part("id", "lanes").alias("lane"), F.lit(1).alias("kind"), "id", F.lit(0).alias("label"),
+                           "rank", "kth", "code")
+    order = [*cell, "piece", "lane"]
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.unionByName(sought).repartition(n, *order).sortWithinPartitions(*order, "kind").mapInArrow(_scan_pieces(dim, k, not_self), _FOUND)
+
+
+_TOP = "array<struct<d:float,rank:int,ref_id:bigint,label:int,dist:bigint>>"
 
 
-def _fifth(k: int) -> Column:
-    return F.when(F.size("top") == k, F.element_at("top", -1)["d"]).otherwise(F.lit(INF).cast("float"))
+def _tops(cand: DataFrame, p: SearchParams, top: str, hit: str) -> DataFrame:
+    """Per query, the k best candidates as an array, up to the first rank that holds a very
+    close neighbour, and that rank."""
+    rows = F.sort_array(F.collect_list(F.struct("d", "rank", "ref_id", "label", "dist"))).alias("all")
+    per = cand.groupBy("qid").agg(rows, F.min(F.when(F.col("d") < p.early_exit, F.col("rank"))).alias(hit))
+    read = F.filter("all", lambda x: F.col(hit).isNull() | (x["rank"] <= F.col(hit)))
+    return per.select("qid", F.slice(read, 1, p.k).cast(_TOP).alias(top), hit)
 
 
-def _frauds() -> Column:
-    return F.aggregate(F.transform("top", lambda x: x["label"]), F.lit(0), lambda a, x: a + x)
+def _best(k: int, *tops: str) -> Column:
+    none = F.array().cast(_TOP)
+    return F.slice(F.sort_array(F.concat(*[F.coalesce(t, none) for t in tops])), 1, k)
 
 
-def _scanned(kth: Column, top: Column, lb: Column, rank: Column) -> Column:
+def _kth(k: int, top: str) -> Column:
+    return F.when(F.size(top) == k, F.element_at(top, -1)["d"]).otherwise(F.lit(INF).cast("float"))
+
+
+def _frauds(top: str) -> Column:
+    return F.aggregate(F.transform(top, lambda x: x["label"]), F.lit(0), lambda a, x: a + x)
+
+
+def _scanned(kth: str, top: str, lb: Column, rank: Column) -> Column:
     """Whether a sequential scan with a shrinking bound would have read this rank."""
     deepest = F.array_max(F.transform(top, lambda x: x["rank"]))
-    return (lb < kth) | ((lb == kth) & (deepest >= rank))
+    return (lb < F.col(kth)) | ((lb == F.col(kth)) & (deepest >= rank))
+
+
+def _probes(listed: DataFrame, begin: int) -> DataFrame:
+    """A row for each cluster in the lists, whose first has rank ``begin``."""
+    rows = listed.select("qid", "tag", "code", "kth", F.posexplode(F.arrays_zip("cells", "lbs")).alias("at", "x"))
+    return rows.select("qid", "tag", "code", "kth", (F.col("at") + begin).alias("rank"), F.col("x.cells").alias("cluster_id"), F.col("x.lbs").alias("lb"))
 
 
 def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int, p: SearchParams, repair: bool = True, not_self: bool = False) -> DataFrame:
@@ -240,74 +348,62 @@ def probe(queries: DataFrame, clusters: DataFrame, records: DataFrame, dim: int,
     Returns one row per query: score, approved, clusters_probed,
     vectors_scanned, repair_triggered, early_exit_taken, sum_dist, sum_id.
     ``qid`` must be unique; ``not_self`` is as in ``exact_neighbours``.
+
+    Up to ``p.probe_block`` queries go to the tasks that hold the records.  More meet
+    the records by cluster, the nearest cluster first: the others are read only where
+    their bound is below the fifth distance found there.
     """
     ship(records.sparkSession)
-    parts, known = _blocks(queries, p.probe_block), by_tag(clusters, dim, "mn", "mx", "n")
-    return reduce(DataFrame.unionByName, [_probe_block(q, known, records, dim, p, repair, not_self) for q in parts])
-
-
-def _probe_block(queries: DataFrame, clusters: dict[int, tuple], records: DataFrame, dim: int, p: SearchParams, repair: bool, not_self: bool) -> DataFrame:
-    # nprobe rows a query of the block
-    first = records.sparkSession.createDataFrame(_ranked(queries, clusters, dim, p.nprobe).toArrow(), _RANKED)
-    stage1 = _kept(_cut_after_hit(_candidates(queries, first, records, dim, p.k, not_self), p.early_exit), p.k)
-    stage1 = stage1.withColumn("kth", _fifth(p.k)).withColumn("frauds", _frauds())
-    empty_top = F.array().cast("array<struct<d:float,rank:int,ref_id:bigint,label:int,dist:bigint>>")
-    state = queries.select("qid", "tag").join(stage1, "qid", "left").select(
-        "qid", "tag", F.coalesce("top", empty_top).alias("top"), "hit",
-        F.coalesce("kth", F.lit(INF).cast("float")).alias("kth"), F.coalesce("frauds", F.lit(0)).alias("frauds"),
-    )
-    state = state.withColumn("repair", F.col("frauds").between(1, p.k - 1) if repair else F.lit(False))
-    # read five times below, and the second round must not run the first again
-    state = stage(state, "stage1")
-    final = state
+    known, wide = by_tag(clusters, dim, "mn", "mx", "n"), kernels.codes(queries, dim)
+    code = (F.array(*wide) if len(wide) > 1 else F.col(wide[0])).cast("array<smallint>").alias("code")
+    listed = stage(queries.select("qid", "tag", code).mapInArrow(_lists(known, dim, 0, p.nprobe), _LISTED), "listed")
+    few = listed.count() <= p.probe_block
+
+    def scan(of: DataFrame, probes: DataFrame) -> DataFrame:
+        return _candidates(of, probes, records, dim, p.k, not_self) if few else _dealt(probes, records, dim, p.k, not_self, p)
+
+    first = _probes(listed.withColumn("kth", F.lit(INF).cast("float")), 0)
+    near = _tops(scan(listed, first if few else first.where("rank = 0")), p, "top", "hit")
+    state = listed.join(near, "qid", "left").withColumn("top", _best(p.k, "top")).withColumn("kth", _kth(p.k, "top"))
+    if not few:
+        state = stage(state, "nearest")
+        asked = stage(_probes(state.where("hit IS NULL"), 0).where("rank > 0 AND lb < kth"), "asked")
+        near = _tops(scan(state, asked), p, "top1", "hit1")
+        state = state.join(near, "qid", "left").withColumn("top", _best(p.k, "top", "top1")).withColumn("hit", F.coalesce("hit", "hit1")).drop("top1", "hit1")
+        state = state.withColumn("kth", _kth(p.k, "top"))
+    state = state.withColumn("repair", _frauds("top").between(1, p.k - 1) if repair else F.lit(False))
+    state = stage(state, "stage1")  # read several times below, and the second round must not run the first again
+    none = {"cells2": "array<int>", "sizes2": "array<bigint>", "lbs2": "array<float>", "top2": _TOP, "hit2": "int"}
     if repair:
-        open_ = state.where("repair").select("qid", "kth", "hit", "top")
+        open_ = state.where("repair").select("qid", "tag", "code", "kth", "hit")
         # after an early exit the scan resumes at the first unread rank and stops there
-        asked = queries.join(open_.drop("top"), "qid")
-        narrow = asked.select("qid", "tag", "kth", "hit", *kernels.codes(asked, dim))
-        more = stage(narrow.mapInArrow(_ranks(clusters, dim, None, p.nprobe), _RANKED), "more")
-        extra = _cut_after_hit(_candidates(asked, more, records, dim, p.k, not_self), p.early_exit)
-        old = open_.select("qid", F.explode("top").alias("x")).select("qid", "x.rank", "x.ref_id", "x.label", "x.dist", "x.d", F.lit(None).cast("int").alias("hit"))
-        extra = stage(extra, "repair")
-        merged = _kept(extra.select("qid", "rank", "ref_id", "label", "dist", "d", "hit").unionByName(old), p.k)
-        cut = extra.groupBy("qid").agg(F.max("hit").alias("hit2"))
-        merged = merged.select("qid", F.col("top").alias("top2")).join(cut, "qid", "left")
-        final = state.join(merged, "qid", "left")
+        more = stage(open_.mapInArrow(_lists(known, dim, p.nprobe, None), _LISTED), "more")
+        asked = _probes(more.join(open_.select("qid", "kth"), "qid"), p.nprobe)
+        asked = asked if few else stage(asked, "asked")
+        further = more.select("qid", *[F.col(c).alias(f"{c}2") for c in ("cells", "sizes", "lbs")])
+        final = state.join(further, "qid", "left").join(_tops(scan(more, asked), p, "top2", "hit2"), "qid", "left")
     else:
-        final = state.withColumn("top2", F.lit(None).cast(state.schema["top"].dataType)).withColumn("hit2", F.lit(None).cast("int"))
-    final = final.withColumn("best", F.coalesce("top2", "top"))
+        final = state.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    final = final.withColumn("best", _best(p.k, "top", "top2")).withColumn("kth2", _kth(p.k, "best"))
     final = stage(final, "final") if repair else final
-    final = final.withColumn(
-        "kth2", F.when(F.size("best") == p.k, F.element_at("best", -1)["d"]).otherwise(F.lit(INF).cast("float"))
-    )
-    one = F.col("rank") < p.nprobe
-    read1 = one & (F.col("hit").isNull() | (F.col("rank") <= F.col("hit"))) & _scanned(F.col("kth"), F.col("top"), F.col("lb"), F.col("rank"))
-    read2 = (
-        ~one
-        & F.col("repair")
-        & (F.col("lb") < F.col("kth"))
-        & (F.col("hit").isNull() | (F.col("rank") == p.nprobe))
-        & (F.col("hit2").isNull() | (F.col("rank") <= F.col("hit2")))
-        & (_scanned(F.col("kth2"), F.col("best"), F.col("lb"), F.col("rank")) | F.col("hit").isNotNull())
-    )
-    ranked = first.unionByName(more) if repair else first
-    counts = (
-        ranked.join(final.select("qid", "hit", "kth", "top", "repair", "hit2", "kth2", "best"), "qid")
-        .where(read1 | read2)
-        .groupBy("qid")
-        .agg(F.count("*").alias("clusters_probed"), F.sum("n").alias("vectors_scanned"))
+    hit, hit2 = F.col("hit"), F.col("hit2")
+    read1 = F.filter(F.arrays_zip("sizes", "lbs"), lambda x, i: (hit.isNull() | (i <= hit)) & _scanned("kth", "top", x["lbs"], i))
+    read2 = F.filter(
+        F.arrays_zip(F.col("sizes2").alias("sizes"), F.col("lbs2").alias("lbs")),
+        lambda x, i: (hit2.isNull() | (i + p.nprobe <= hit2)) & (_scanned("kth2", "best", x["lbs"], i + p.nprobe) | hit.isNotNull()),
     )
-    head = F.when(F.size("best") > 0, F.element_at("best", 1))
-    labels = F.aggregate(F.transform("best", lambda x: x["label"]), F.lit(0), lambda a, x: a + x)
-    score = F.coalesce(decision(labels, head["d"], head["label"], p), F.lit(0.0))
     zero = F.lit(0).cast("bigint")
-    return final.join(counts, "qid", "left").select(
+    sizes = F.concat(F.transform(read1, lambda x: x["sizes"]), F.coalesce(F.transform(read2, lambda x: x["sizes"]), F.array().cast("array<bigint>")))
+    final = final.withColumn("read", sizes)
+    head = F.when(F.size("best") > 0, F.element_at("best", 1))
+    score = F.coalesce(decision(_frauds("best"), head["d"], head["label"], p), F.lit(0.0))
+    return final.select(
         "qid",
         "tag",
         score.alias("score"),
         (score < p.approve_below).alias("approved"),
-        F.coalesce("clusters_probed", zero).alias("clusters_probed"),
-        F.coalesce("vectors_scanned", zero).alias("vectors_scanned"),
+        F.size("read").cast("bigint").alias("clusters_probed"),
+        F.aggregate("read", zero, lambda a, x: a + x).alias("vectors_scanned"),
         F.col("repair").cast("int").alias("repair_triggered"),
         F.coalesce(head["d"] < p.early_exit, F.lit(False)).cast("int").alias("early_exit_taken"),
         F.aggregate(F.transform("best", lambda x: x["dist"]), zero, lambda a, x: a + x).alias("sum_dist"),

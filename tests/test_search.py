@@ -126,3 +126,27 @@ def test_kmeans_reaches_a_fixpoint(spark):
     centroids = index.lloyd(records, 3, DIM, 12)
     assert centroids.count() <= 12
     assert index.kmeans(records, 3, DIM, rounds=5).count() <= 12
+
+
+@pytest.mark.parametrize("seed,n,early,nprobe,not_self", [(1, 160, 10000, 2, True), (2, 160, 30_000_000, 2, True), (3, 12, 10000, 2, False), (5, 200, 5_000_000, 3, False), (6, 200, 40_000_000, 1, True)])
+def test_queries_and_records_meet_by_cluster(spark, seed, n, early, nprobe, not_self):
+    """More queries than go to the tasks: the same rows, from one scan of the records a round."""
+    few = SearchParams(nprobe=nprobe, early_exit=early, clusters=6)
+    many = SearchParams(nprobe=nprobe, early_exit=early, clusters=6, probe_block=1, piece=5, lane=7)
+    records = spark.createDataFrame(vectors(n, seed), SCHEMA)
+    ix = Index.build(records, DIM, few)
+    odd = spark.createDataFrame([(n + 5, 9, *([0] * DIM))], "qid bigint, tag int, " + ", ".join(f"{c} int" for c in COLS))
+    q = records.withColumnRenamed("ref_id", "qid").drop("label").union(odd)
+    found = [search.probe(q, ix.clusters, ix.records, DIM, p, not_self=not_self) for p in (few, many)]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
+    assert found[1].count() == n + 1
+
+
+def test_probe_scans_records_for_rounds_not_for_blocks(spark, monkeypatch):
+    scans, mapped = [], search._scan_probes
+    monkeypatch.setattr(search, "_scan_probes", lambda *a: scans.append(1) or mapped(*a))
+    records = spark.createDataFrame(vectors(60, 1), SCHEMA)
+    p = SearchParams(nprobe=2, clusters=6, probe_block=8)
+    ix = Index.build(records, DIM, p)
+    assert search.probe(records.withColumnRenamed("ref_id", "qid").drop("label"), ix.clusters, ix.records, DIM, p).count() == 60
+    assert len(scans) <= 2
