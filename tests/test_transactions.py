@@ -20,3 +20,24 @@ def test_unknown_merchants_equal_sql_without_lists(spark, tmp_path):
     want = con.execute(catalog.oracle_sql()["unknown_merchant_anti_join"]).fetchall()
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want)
     assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_and_vectors_are_made_once(spark, tmp_path, monkeypatch):
+    """What is served, and what the index is built of, is read back from storage."""
+    rows = [(i, START + dt.timedelta(seconds=i), i % 3, "view", 1.0 + i % 7, '{"k": %d}' % (i % 45)) for i in range(40)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    plans = []
+
+    class Built:
+        @staticmethod
+        def build(records, *_):
+            plans.append(records._jdf.queryExecution().optimizedPlan().toString())
+
+    def serve(requests, _):
+        plans.append(requests._jdf.queryExecution().optimizedPlan().toString())
+        return requests.selectExpr("*", "1 AS status", "raw AS answer")
+
+    monkeypatch.setattr(catalog, "Index", Built)
+    monkeypatch.setattr(catalog, "serve", serve)
+    assert catalog.queries()["http_answers"](spark, str(tmp_path)).count() == 8
+    assert len(plans) == 2 and all(p.startswith("Relation") for p in plans)
