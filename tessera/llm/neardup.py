@@ -50,6 +50,10 @@ MARGIN = 0.24
 MANY = 50
 #: Classes of copies whose representatives are broadcast (some tens of KB).
 HEAVY = 1000
+#: Edges up to which one task finds the components (some 50 MB); more take distributed rounds.
+LOCAL_EDGES = 1 << 19
+#: Share of the documents from which a pass of the bound leaves too many for another pass.
+WORTH = 0.75
 #: Bits of the map of candidate ids that goes to the tasks (2 MB), and its largest load.
 SLOTS = 1 << 24
 _LONGS = PERMS * BITS // 64
@@ -139,7 +143,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         .agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("int")).alias("bits"))
     )
     bits = np.zeros(SLOTS // 8, np.uint8)
-    for r in maps.toLocalIterator():  # at most SLOTS / 32768 maps of 4 KB
+    for r in maps.collect():  # at most SLOTS / 32768 maps of 4 KB, in one job whatever the partitions
         bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     picked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
     return stage_arrow(picked, _sets(bits), spec, "sets")
@@ -178,13 +182,37 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(den * F.col("n") >= num * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
 
 
+def _least_reachable(batches):
+    """(node, comp) of all edges (a, b) of a task: roots take the least root beside
+    them, then labels are followed to the end, until no edge joins two roots."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+        x, y = label[x], label[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): smallest node reachable over (a, b), for nodes with an edge.
 
-    Each round takes the least label among neighbours, then follows labels once
-    more (pointer jumping), until nothing changes.  Labels and edges stay
-    distributed; each round's labels are written out, so lineage is one round.
+    Up to LOCAL_EDGES edges are one task's work.  Of more, each round takes the
+    least label among neighbours, then follows labels once more (pointer jumping),
+    until nothing changes.  Labels and edges stay distributed then; each round's
+    labels are written out, so lineage is one round.
     """
+    if edges.count() <= LOCAL_EDGES:
+        return stage_arrow(edges.select("a", "b").repartition(1), _least_reachable, "node bigint, comp bigint", "labels")
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = stage_small(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
     while True:
@@ -207,16 +235,17 @@ def _able(sets: DataFrame, places: DataFrame, num: int, den: int) -> DataFrame:
     their component: enough of their shingles occur in another one.
 
     Leaving out a document can only lower the counts of others, so this is
-    repeated while it takes documents away.
+    repeated while it takes away a good part of the documents.  The bound holds
+    after any pass; a pass less leaves more to be paired.
     """
     rows = sets.join(places, "doc_id").select("doc_id", "comp", F.size("sh").alias("n_shingles"), F.explode("sh").alias("s"))
-    left, n = rows, None
+    left, n = rows, places.count()
     while True:
         wide = left.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
         able = left.join(wide, "s").groupBy("doc_id", "comp", "n_shingles").agg(F.count("*").alias("shared"))
         able = stage_small(able.where(den * F.col("shared") >= num * F.col("n_shingles")), "able")
         now = able.count()
-        if now == n or not now:
+        if now >= WORTH * n or not now:
             return able
         left, n = rows.join(able.select("doc_id"), "doc_id", "left_semi"), now
 

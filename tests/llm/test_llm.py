@@ -139,6 +139,52 @@ def test_near_duplicates_join_documents_not_their_places_in_buckets(spark, monke
         assert 0 <= plan.find("Generate explode(keys") < plan.find("Join")
 
 
+@pytest.mark.parametrize("worth", [0, 1])
+def test_near_duplicates_equal_brute_force_whatever_the_passes_of_the_bound(spark, monkeypatch, worth):
+    monkeypatch.setattr(neardup, "WORTH", worth)
+    rows = edited(5, 60, 14)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.link(df, 85, 100).collect()} == brute_components(rows, 85, 100)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_components_of_both_kinds(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "LOCAL_EDGES", most, raising=False)
+    rnd = np.random.default_rng(7)
+    ids = rnd.permutation(np.arange(-60, 60)).tolist()
+    edges = list(zip(ids[:40], ids[1:41], strict=True)) + [tuple(sorted(rnd.choice(ids[41:], 2, replace=False).tolist())) for _ in range(45)]
+    edges += edges[:5] + [(ids[50], ids[50])]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = neardup.components(df).collect()
+    assert len(got) == len(least) and {r["node"]: r["comp"] for r in got} == least
+    assert neardup.components(df.where("false")).count() == 0
+
+
+def test_near_duplicates_jobs_do_not_grow_with_partitions_or_paths(spark):
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)], "a bigint, b bigint")
+    df = spark.createDataFrame(edited(3, 40, 14), "doc_id bigint, text string")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        jobs = {}
+        for name, run in (("path", lambda: neardup.components(path)), ("map", lambda: neardup.shingle_sets(df, df.select("doc_id").distinct()))):
+            sc.setJobGroup(f"jobs of {name}", "")
+            run()
+            jobs[name] = len(sc.statusTracker().getJobIdsForGroup(f"jobs of {name}"))
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs["path"] <= 6 and 0 < jobs["map"] <= 12  # the map took a job for each of 60 partitions
+
+
 def test_near_duplicates_odd_rows(docs):
     got = [(r["doc_id"], r["component_id"]) for r in neardup.link(docs).collect()]
     assert Counter(got) == Counter((i, i) for i, _ in TEXTS)
