@@ -50,7 +50,7 @@ MARGIN = 0.24
 MANY = 50
 #: Classes of copies whose representatives are broadcast (some tens of KB).
 HEAVY = 1000
-#: Edges up to which one task finds the components (some 50 MB); more take distributed rounds.
+#: Edges up to which one task finds the components (62 MB measured); more take distributed rounds.
 LOCAL_EDGES = 1 << 19
 #: Share of the documents from which a pass of the bound leaves too many for another pass.
 WORTH = 0.75
